@@ -113,23 +113,18 @@ def _sets(stream):
             )
 
 
-def _lanes(x: F.Column) -> F.Column:
-    """How many of the 64-bit number's four registers are zero."""
+def _filled(words: F.Column) -> F.Column:
+    """How many 16-bit registers of an array of 64-bit numbers aren't zero."""
     for bits, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, bits)).bitwiseAND(F.lit(mask))
-    return F.lit(4) - F.bit_count(x)
-
-
-def _lane_sum(a: F.Column, b: F.Column, f) -> F.Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: _lanes(f(x, y))), F.lit(0), lambda s, v: s + v)
+        words = F.transform(words, lambda x, b=bits, m=mask: x.bitwiseOR(F.shiftrightunsigned(x, b)).bitwiseAND(F.lit(m)))
+    return F.aggregate(words, F.lit(0), lambda s, x: s + F.bit_count(x))
 
 
 def estimate(sketch_a: str, sketch_b: str, n_a: str, n_b: str) -> tuple[F.Column, F.Column]:
     """The collision-corrected Jaccard estimate, and the number of registers it rests on."""
     a, b = F.col(sketch_a), F.col(sketch_b)
-    both_empty = _lane_sum(a, b, lambda x, y: x.bitwiseOR(y))
-    used = F.lit(BUCKETS) - both_empty
-    same = _lane_sum(a, b, lambda x, y: x.bitwiseXOR(y)) - both_empty
+    used = _filled(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)))
+    same = used - _filled(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)))
     na, nb = F.col(n_a).cast("double"), F.col(n_b).cast("double")
     chance = used * (COLLISION * 4 / 2**MANTISSA) * na * nb / ((na + nb) * (na + nb))
     return (same - chance) / (used - chance), used
