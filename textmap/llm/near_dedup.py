@@ -113,10 +113,14 @@ def _sets(stream):
             )
 
 
+def _fold(bits: int, mask: int):
+    return lambda x: x.bitwiseOR(F.shiftrightunsigned(x, bits)).bitwiseAND(F.lit(mask))
+
+
 def _filled(words: F.Column) -> F.Column:
     """How many 16-bit registers of an array of 64-bit numbers aren't zero."""
     for bits, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
-        words = F.transform(words, lambda x, b=bits, m=mask: x.bitwiseOR(F.shiftrightunsigned(x, b)).bitwiseAND(F.lit(m)))
+        words = F.transform(words, _fold(bits, mask))
     return F.aggregate(words, F.lit(0), lambda s, x: s + F.bit_count(x))
 
 
