@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import U, batches, mix, with_columns_renamed_apart, word_codes
+from textmap.llm.shared import Tables, U, batches, mix, sized, with_columns_renamed_apart, word_codes
 
 #: Fixed masks of weight 6 to 7; with them any 13 tokens with two substitutions keep a hit in nearly all places.
 MASKS = ("1111011", "110101111", "1101100111", "11100101011")
@@ -181,8 +181,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that overlap with a test item. Rows with a null id are judged by nothing and stay."""
-    found = contaminated_spans(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = sized(Tables(docs.sparkSession), contaminated_spans(docs, benchmark).select(F.col("doc_id").alias("leak_id")).distinct(), "leaks")
+    return docs.join(found, F.col("doc_id") == F.col("leak_id"), "left_anti").select(*docs.columns)
 
 
 def op10_spaced_seeds(spark, sf_dir: str) -> DataFrame:

@@ -26,11 +26,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import _SPACE, Tables, batches, ngrams, with_columns_renamed_apart, word_codes
+from textmap.llm.shared import _SPACE, Tables, batches, ngrams, sized, with_columns_renamed_apart, word_codes
 
 #: Largest share of a stratum's good documents that all rules together may reject, and the confidence.
 MAX_FALSE_REJECTION, CONFIDENCE = 0.05, 0.95
@@ -67,39 +67,46 @@ def _lines(text: bytes) -> tuple[int, int]:
     return len(lines), len(lines) - len(set(lines))
 
 
-def _measure(stream):
-    for batch in stream:
-        texts = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
-        for a, b in batches(texts):
-            codes, bounds = word_codes(texts[a:b])
-            rows = {c: [] for c in COUNTS}
-            for k, text in enumerate(texts[a:b]):
-                data = np.frombuffer(text, np.uint8)
-                own = codes[bounds[k] : bounds[k + 1]]
-                kinds = np.bincount(data, minlength=256)
-                n_lines, n_dup = _lines(text)
-                points = int(kinds.sum() - kinds[128:192].sum() - kinds[_SPACE].sum())
-                for c, v in zip(COUNTS, (len(own), points, int(kinds @ _SYMBOLS), n_lines, n_dup, _repeated_words(own), int(kinds[33]), int(kinds @ _UPPER))):
-                    rows[c].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *[pa.array(rows[c], pa.int64()) for c in COUNTS]], names=["id", "stratum", *COUNTS]
-            )
+def _counted(texts: list[bytes]) -> dict[str, list[int]]:
+    rows = {c: [] for c in COUNTS}
+    for a, b in batches(texts):
+        codes, bounds = word_codes(texts[a:b])
+        for k, text in enumerate(texts[a:b]):
+            own = codes[bounds[k] : bounds[k + 1]]
+            kinds = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+            n_lines, n_dup = _lines(text)
+            points = int(kinds.sum() - kinds[128:192].sum() - kinds[_SPACE].sum())
+            for c, v in zip(COUNTS, (len(own), points, int(kinds @ _SYMBOLS), n_lines, n_dup, _repeated_words(own), int(kinds[33]), int(kinds @ _UPPER))):
+                rows[c].append(v)
+    return rows
+
+
+def _counts(text: F.Column) -> F.Column:
+    """The counts of a text as a struct, in Arrow batches; the row's other columns don't leave the JVM."""
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
+    def count(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(_counted([b"" if t is None else t.encode() for t in texts]), columns=COUNTS)
+
+    return count(text)
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """id, stratum and the counts of each text; rates of the rules, each between 0 and 1 or a little more."""
-    rows = with_columns_renamed_apart(docs, {id_col: "id", stratum_col: "stratum", text_col: "text"})
-    rows = rows.select(F.col("id").cast("long"), F.coalesce(F.col("stratum").cast("string"), F.lit("")).alias("stratum"), F.col("text").cast("string"))
-    counts = rows.mapInArrow(_measure, "id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
-    rate = lambda x, of: F.coalesce(F.try_divide(F.col(x), F.col(of)), F.lit(0.0)).cast("double")
-    return counts.withColumns({
+    """docs with a struct `q`: id, stratum, the counts, the rules' rates, base_failed."""
+    rate = lambda x, of: F.coalesce(F.try_divide(F.col(f"q_counts.{x}"), F.col(f"q_counts.{of}")), F.lit(0.0)).cast("double")
+    fields = {
+        "id": F.col(f"`{id_col}`").cast("long"),
+        "stratum": F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("")),
+        **{c: F.col(f"q_counts.{c}") for c in COUNTS},
         "symbols": rate("n_symbols", "word_chars"),
         "repeats": rate("n_repeat_words", "n_words"),
         "dup_lines": rate("n_dup_lines", "n_lines"),
         "shouts": rate("n_shouts", "n_words"),
         "capitals": rate("n_capitals", "word_chars"),
-        "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-    })
+        "base_failed": (F.col("q_counts.n_words") < 20) | (100 * F.col("q_counts.n_repeat_words") > 30 * F.col("q_counts.n_words")),
+    }
+    counted = docs.withColumn("q_counts", _counts(F.col(f"`{text_col}`").cast("string")))
+    return counted.withColumn("q", F.struct(*[v.alias(k) for k, v in fields.items()])).drop("q_counts")
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -115,7 +122,7 @@ def cutoffs(measures: DataFrame, labels: DataFrame) -> DataFrame:
     known = with_columns_renamed_apart(labels, {"doc_id": "label_id", "quality": "quality"}).filter("label_id IS NOT NULL AND quality IS NOT NULL")
     known = known.groupBy(F.col("label_id").cast("long").alias("label_id")).agg(F.min("quality").alias("good"))
     # What the base rule rejects is gone before the rules: it isn't theirs to lose.
-    holdout = measures.filter("NOT base_failed").select("id", "stratum", *RULES).join(known, F.col("id") == F.col("label_id"))
+    holdout = measures.select("q.*").filter("NOT base_failed").select("id", "stratum", *RULES).join(known, F.col("id") == F.col("label_id"))
     rule = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("rate")) for r in RULES])).alias("r")
     counts = []
     for i, g in enumerate(GRID):
@@ -131,33 +138,27 @@ def cutoffs(measures: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: its counts, base_failed, the rules that reject it, kept."""
-    measures = measured(docs)
+    """docs with the struct q of `measured`, and q_rejected_by and q_kept."""
     # Only labelled documents are measured for the cutoffs.
-    ids = labels.select(F.col("doc_id").cast("long").alias("label_id")).distinct()
-    labelled = docs.join(ids, docs.doc_id == ids.label_id, "left_semi")
-    chosen = cutoffs(measured(labelled), labels).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut")).withColumnRenamed("stratum", "cut_stratum")
-    rows = chosen.collect() if chosen.count() <= BROADCAST_STRATA else None
-    if rows is not None:
-        chosen = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in rows], "cut_stratum string, cut map<string,double>"))
+    tables = Tables(docs.sparkSession)
+    ids = sized(tables, labels.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("label_id")).distinct(), "labelled")
+    labelled = docs.join(ids, F.col("doc_id") == F.col("label_id"), "left_semi")
+    chosen = cutoffs(measured(labelled), labels).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("q_cut")).withColumnRenamed("stratum", "q_stratum")
+    chosen = tables.keep(chosen, "cutoffs")
+    measures, on = measured(docs), F.col("q.stratum") == F.col("q_stratum")
+    if chosen.count() <= BROADCAST_STRATA:
+        chosen = F.broadcast(chosen)
     else:  # the hot strata are spread over a salt
-        chosen = chosen.withColumn("cut_salt", F.explode(F.array(*[F.lit(i) for i in range(64)])))
-        measures = measures.withColumn("salt", F.pmod(F.hash("id"), F.lit(64)))
-    on = F.col("stratum") == F.col("cut_stratum")
-    if rows is None:
-        on &= F.col("salt") == F.col("cut_salt")
-    broken = [F.when(F.col(r) > F.col("cut")[r], F.lit(r)) for r in RULES]
-    out = measures.join(chosen, on, "left").withColumn("rejected_by", F.coalesce(F.concat_ws(",", *broken), F.lit("")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == "")).withColumnRenamed("id", "doc_id")
-
-
-RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"]
+        chosen = chosen.withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        on &= F.pmod(F.hash("q.id"), F.lit(64)) == F.col("q_salt")
+    broken = [F.when(F.col(f"q.{r}") > F.col("q_cut")[r], F.lit(r)) for r in RULES]
+    out = measures.join(chosen, on, "left").withColumn("q_rejected_by", F.coalesce(F.concat_ws(",", *broken), F.lit("")))
+    return out.withColumn("q_kept", ~F.col("q.base_failed") & (F.col("q_rejected_by") == "")).select(*docs.columns, "q", "q_rejected_by", "q_kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that a rule rejects. Verdicts belong to a document's text, so repeated ids are judged row by row."""
-    verdicts = judged(docs, labels).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that a rule rejects; no row is shuffled for it."""
+    return judged(docs, labels).filter("q_kept").select(*docs.columns)
 
 
 _RATES = {
@@ -200,4 +201,5 @@ FROM counts LEFT JOIN rejected USING (doc_id)
 
 
 def op3_risk_controlled_rules(spark, sf_dir: str) -> DataFrame:
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*RESULT)
+    out = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], F.col("q_kept").alias("kept"), F.col("q_rejected_by").alias("rejected_by"))

@@ -160,6 +160,18 @@ class Tables:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of ids and small values that are sent to all tasks at most; larger tables are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(tables: Tables, df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df as a kept table, to be broadcast if it has at most so many rows."""
+    from pyspark.sql import functions as F
+
+    kept = tables.keep(df, name)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def with_columns_renamed_apart(df: DataFrame, keep: dict[str, str]) -> DataFrame:
     """Only the wanted columns, under the operator's own names; others can't clash with them."""
     from pyspark.sql import functions as F
