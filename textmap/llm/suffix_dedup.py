@@ -15,7 +15,9 @@ the passage follow it.
    of at least 50 words in all count. Rows at the edges of a range meet those of
    the next range in a second, small pass. Longer passages are the union of the
    matches of their suffixes.
-4. Of each run the copy with the smallest (document, position) stays.
+4. The copy with the smallest (document, position) stays. Of any other copy those
+   words go that a run has in a smaller place, and those around it that a smaller
+   copy was seen to have too: whatever goes is left in some smaller place.
 
 A passage can be missed only where two other copies agree with it further right
 than its true partner but not as far left, at each of its suffixes.
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import PIECE, Tables, U, _P, _PINV, _powers_of, batches, mix, ngrams, signed, with_columns_renamed_apart, word_codes
+from textmap.llm.shared import PIECE, Tables, U, _P, _PINV, _powers_of, batches, mix, ngrams, signed, sized, with_columns_renamed_apart, word_codes
 
 MIN_WORDS, GRAM, WINDOW = 50, 8, 24
 RUN = MIN_WORDS - WINDOW + 1
@@ -129,49 +131,88 @@ def _common(a, b) -> np.ndarray:
     return np.minimum(differs.argmax(axis=1), np.minimum(nx, ny))
 
 
-def _matches(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """For each sorted suffix the words that its best matches reach left of it and right of its run; -1: no match."""
+class Matches:
+    """For each sorted suffix the words left of it and right of its run that its best matches reach (-1: none).
+
+    `any_*` are those with any copy, `cut_*` those with a copy before it in (document, position).
+    """
+
+    def __init__(self, n: int):
+        self.any_left, self.any_right, self.cut_left, self.cut_right = (np.full(n, -1) for _ in range(4))
+
+    def add(self, at, ok: np.ndarray, left: np.ndarray, right: np.ndarray, earlier: np.ndarray) -> None:
+        for name, keep in (("any", ok), ("cut", ok & earlier)):
+            for side, reach in (("left", left), ("right", right)):
+                own = getattr(self, f"{name}_{side}")
+                own[at] = np.maximum(own[at], np.where(keep, reach, -1))
+
+
+def _matches(rows: pa.Table, fresh: int, state: dict) -> Matches:
+    """Each suffix with the LOOK_BACK before it, and with the first copy in its run so far (state carries that on).
+
+    Along sorted neighbours common lengths only shrink, so the smallest on the way to the first
+    copy is a length that both have. The first `fresh` rows were seen before.
+    """
     n = rows.num_rows
     right, left = _matrix(rows["right"].to_pylist()), _matrix(rows["left"].to_pylist())
     run, id_, pos = (rows[c].to_numpy() for c in ("run", "id", "pos"))
-    to_left, to_right = np.full(n, -1), np.full(n, -1)
+    out = Matches(n)
+    part = lambda m, s: (m[0][s], m[1][s])
+    near_left, near_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for d in range(1, min(LOOK_BACK, n - 1) + 1):
-        part = lambda m, s: (m[0][s], m[1][s])
         before, here = slice(0, n - d), slice(d, n)
         r, l = _common(part(right, before), part(right, here)), _common(part(left, before), part(left, here))
-        ok = (run[before] == run[here]) & ((id_[before] != id_[here]) | (pos[before] != pos[here])) & (l + RUN + r >= MIN_WORDS)
-        for s in (before, here):
-            to_left[s] = np.maximum(to_left[s], np.where(ok, l, -1))
-            to_right[s] = np.maximum(to_right[s], np.where(ok, r, -1))
-    return to_left, to_right
+        other = (id_[before] != id_[here]) | (pos[before] != pos[here])
+        ok = (run[before] == run[here]) & other & (l + RUN + r >= MIN_WORDS)
+        first = (id_[before] < id_[here]) | ((id_[before] == id_[here]) & (pos[before] < pos[here]))
+        out.add(before, ok, l, r, ~first)
+        out.add(here, ok, l, r, first)
+        if d == 1:
+            near_left[1:], near_right[1:] = l, r
+    keys = list(zip(run.tolist(), id_.tolist(), pos.tolist()))
+    for order, held in ((range(max(fresh, 1), n), state), (range(n - 2, -1, -1), {})):
+        step = 0 if order.step > 0 else 1
+        if "top" not in held and n:
+            k = 0 if order.step > 0 else n - 1
+            held.update(top=keys[k], left=SIDE, right=SIDE)
+        for k in order:
+            own, top = keys[k], held["top"]
+            if own[0] != top[0] or own < top:
+                held.update(top=own, left=SIDE, right=SIDE)
+                continue
+            held["left"], held["right"] = min(held["left"], int(near_left[k + step])), min(held["right"], int(near_right[k + step]))
+            if own > top and held["left"] + RUN + held["right"] >= MIN_WORDS:
+                out.cut_left[k], out.cut_right[k] = max(out.cut_left[k], held["left"]), max(out.cut_right[k], held["right"])
+    return out
 
 
 _KEYS = ["run", "right", "left", "id", "pos", "first_id", "first_pos"]
 
 
-def _compared(rows: pa.Table, edges: pa.Table | None):
-    to_left, to_right = _matches(rows)
-    hit = np.flatnonzero(to_left >= 0)
+_KINDS = "run long, right binary, left binary, id long, pos int, first_id long, first_pos int"
+_SPAN_KINDS = ", start int, end int, cut_start int, cut_end int"
+_NAMES = [*_KEYS, "start", "end", "cut_start", "cut_end"]
+
+
+def _compared(rows: pa.Table, fresh: int, state: dict) -> pa.RecordBatch:
+    m = _matches(rows, fresh, state)
+    hit = np.flatnonzero(m.any_left >= 0)
     found = rows.take(pa.array(hit))
     pos = found["pos"].to_numpy().astype(np.int64)
     blank = pa.nulls(len(hit), pa.binary())
-    yield pa.RecordBatch.from_arrays(
-        [
-            *[found[c].combine_chunks() if c not in ("right", "left") else blank for c in _KEYS],
-            pa.array((pos - to_left[hit]).astype(np.int32)),
-            pa.array((pos + RUN + to_right[hit]).astype(np.int32)),
-        ],
-        names=[*_KEYS, "start", "end"],
-    )
-    if edges is not None and edges.num_rows:
-        for b in edges.combine_chunks().to_batches():
-            none = pa.nulls(b.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in _KEYS], none, none], names=[*_KEYS, "start", "end"])
+    ends = (pos - m.any_left[hit], pos + RUN + m.any_right[hit], pos - np.maximum(m.cut_left[hit], 0), pos + RUN + np.maximum(m.cut_right[hit], 0))
+    columns = [found[c].combine_chunks() if c not in ("right", "left") else blank for c in _KEYS]
+    return pa.RecordBatch.from_arrays([*columns, *[pa.array(x.astype(np.int32)) for x in ends]], names=_NAMES)
+
+
+def _edge(rows: pa.Table):
+    for b in rows.combine_chunks().to_batches():
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in _KEYS], *[pa.nulls(b.num_rows, pa.int32())] * 4], names=_NAMES)
 
 
 def _neighbours(stream):
     """Matches of a sorted range; its first and last rows come too, without a span, for the pass over edges."""
-    held, first = None, None
+    held, first, state = None, None, {}
     for batch in stream:
         new = pa.Table.from_batches([batch])
         if not new.num_rows:
@@ -179,19 +220,19 @@ def _neighbours(stream):
         rows = new if held is None else pa.concat_tables([held, new]).combine_chunks()
         if first is None or first.num_rows < LOOK_BACK:
             first = rows.slice(0, LOOK_BACK)
-        yield from _compared(rows, None)
+        yield _compared(rows, 0 if held is None else held.num_rows, state)
         held = rows.slice(max(0, rows.num_rows - LOOK_BACK))
     if held is not None:
-        yield from _compared(held.slice(0, 0), pa.concat_tables([first, held]))
+        yield from _edge(pa.concat_tables([first, held]))
 
 
 def _neighbours_of_edges(stream):
-    held = None
+    held, state = None, {}
     for batch in stream:
         new = pa.Table.from_batches([batch])
         rows = new if held is None else pa.concat_tables([held, new]).combine_chunks()
         if rows.num_rows:
-            yield from _compared(rows, None)
+            yield _compared(rows, 0 if held is None else held.num_rows, state)
             held = rows.slice(max(0, rows.num_rows - LOOK_BACK))
 
 
@@ -222,15 +263,15 @@ def _without(spans: list[list[int]], kept: list[list[int]]) -> list[list[int]]:
 
 
 def _spans(stream):
-    """One row per repeated passage of a document: what stays here, and what has its first copy elsewhere."""
+    """One row per repeated passage of a document: what stays here, and what goes because a copy comes before it."""
     for batch in stream:
         rows = {"id": [], "start_word": [], "end_word": [], "first_doc_id": [], "repeat": []}
         for id_, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            here = _merged([(x["start"], x["end"]) for x in own if x["is_first"]])
-            cut = _without(_merged([(x["start"], x["end"]) for x in own if not x["is_first"]]), here)
+            cut = _merged([(x["cut_start"], x["cut_end"]) for x in own if not x["is_first"]])
+            here = _without(_merged([(x["start"], x["end"]) for x in own]), cut)
             for spans, repeat in ((here, False), (cut, True)):
                 for a, b in spans:
-                    at = min((x["first_id"] for x in own if x["start"] < b and x["end"] > a and x["is_first"] != repeat), default=id_)
+                    at = min((x["first_id"] for x in own if x["start"] < b and x["end"] > a), default=id_)
                     for k, v in zip(rows, (id_, a, b, at, repeat)):
                         rows[k].append(v)
         yield pa.RecordBatch.from_arrays(
@@ -251,16 +292,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # The first copy's position, where the first document holds the run more than once.
     first = alive.filter("id = first_id").groupBy("run").agg(F.min("pos").alias("first_pos"))
     per_doc = alive.join(first, "run").groupBy("id").agg(F.collect_set(F.struct("run", "pos", "first_id", "first_pos")).alias("found"))
-    kinds = "run long, right binary, left binary, id long, pos int, first_id long, first_pos int"
-    keyed = tables.keep(rows.dropDuplicates(["id"]).join(per_doc, "id").select("id", "text", "found").mapInArrow(_contexts, kinds), "contexts")
+    keyed = tables.keep(rows.dropDuplicates(["id"]).join(per_doc, "id").select("id", "text", "found").mapInArrow(_contexts, _KINDS), "contexts")
     order = ["run", "right", "left", "id", "pos"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    compared = tables.keep(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, kinds + ", start int, end int"), "compared")
+    compared = tables.keep(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _KINDS + _SPAN_KINDS), "compared")
     tables.drop(keyed)
     edges = compared.filter("start IS NULL").select(*_KEYS)
-    edges = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours_of_edges, kinds + ", start int, end int")
-    hits = compared.filter("start IS NOT NULL").union(edges).groupBy("id", "pos", "first_id", "first_pos").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    own = F.struct("start", "end", "first_id", ((F.col("id") == F.col("first_id")) & (F.col("pos") == F.col("first_pos"))).alias("is_first"))
+    edges = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours_of_edges, _KINDS + _SPAN_KINDS)
+    hits = compared.filter("start IS NOT NULL").union(edges).groupBy("id", "pos", "first_id", "first_pos").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("cut_start").alias("cut_start"), F.max("cut_end").alias("cut_end")
+    )
+    own = F.struct("start", "end", "cut_start", "cut_end", "first_id", ((F.col("id") == F.col("first_id")) & (F.col("pos") == F.col("first_pos"))).alias("is_first"))
     return hits.groupBy("id").agg(F.collect_list(own).alias("own")).mapInArrow(_spans, "doc_id long, start_word long, end_word long, first_doc_id long, repeat boolean")
 
 
@@ -284,6 +326,7 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs with every repeat of a passage cut out of text but for its first copy; n_chars follows. No row goes."""
     spans = repeated_passages(docs).filter("repeat").groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("cut_spans"))
+    spans = sized(Tables(docs.sparkSession), spans, "cuts", rows=100_000)
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -291,7 +334,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([t if s is None or t is None else cut_words(t, [(x["start_word"], x["end_word"]) for x in s]) for t, s in zip(text, spans)], dtype=object)
 
-    joined = docs.join(spans, docs.doc_id == spans.cut_id, "left")
+    joined = docs.join(spans, F.col("doc_id") == F.col("cut_id"), "left")
     text = F.when(F.col("cut_spans").isNull(), F.col("text")).otherwise(cut("text", "cut_spans"))
     joined = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
