@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import functools
 
+import pandas as pd
+
 _STEP_2 = (
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
     ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"),
@@ -123,7 +125,6 @@ def stem(word: str) -> str:
 
 def stem_udf():
     """array<string> -> array<string>, in Arrow batches."""
-    import pandas as pd
     from pyspark.sql import functions as F
 
     @F.pandas_udf("array<string>")
