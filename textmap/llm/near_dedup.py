@@ -9,12 +9,15 @@ words; a null or wordless text has none and links with nothing).
    bits, 0 if empty. Equal sets are folded to one representative (smallest id).
 2. Band. Four compressed registers are one 64-bit key; a pair at similarity
    0.85 misses all 24 bands with a probability of 2e-8.
-3. Candidates. In each bucket every member meets a hub only, for a few rounds
-   with other hubs; verified links are folded to components after each round.
-   What is left (members of one bucket in different components, not of the
-   bucket's largest) then meets all others of its bucket, so that no pair of
-   the bucket that could still join two components goes unseen. No bucket and
-   no number of partners is capped.
+3. Candidates. In each bucket every member first meets the bucket's hub, its
+   smallest id. Verified links are folded to components, and only pairs of one
+   bucket that could still join two components are looked at from then on: all of
+   them in buckets of at most SMALL members; in larger ones the members meet the
+   member with the fewest private shingles (those that no other member of such
+   buckets has), the centre. Those outside the bucket's largest component then meet
+   every other member with whom they share a shingle that the centre lacks, and
+   every one where what both share with the centre leaves room for the similarity;
+   no other pair can reach it. No bucket and no number of partners is capped.
 4. Estimate. Matching registers, corrected for collisions of registers that
    hold different values, give a Jaccard estimate; pairs five standard errors
    below the threshold go.
@@ -35,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import Tables, U, batches, mix, ngrams, signed, with_columns_renamed_apart, word_codes
+from textmap.llm.shared import Tables, U, batches, mix, ngrams, signed, sized, with_columns_renamed_apart, word_codes
 
 BUCKETS, ROWS, MANTISSA = 96, 4, 10
 SHINGLE = 5
 #: Expected register collisions per bucket are this, times 2^-MANTISSA, times 4ab/(a+b)^2: the published estimate.
 COLLISION = 0.169919487159739093975315012348
-HUB_ROUNDS = 3
+#: Buckets of at most this many members are compared in full.
+SMALL = 32
 #: Candidate ids up to this many are sent to all tasks (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 MASK52 = U((1 << 52) - 1)
@@ -180,44 +184,68 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One key for band and registers; empty bands stand for nothing and make no bucket.
     bands = reps.select("id", F.posexplode("sketch").alias("band", "key")).filter("key <> 0").select("id", F.xxhash64("band", "key").alias("key"))
     full = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).filter("m > 1")
-    members = tables.keep(bands.join(full.select("key"), "key").select("key", "id"), "members")
+    members = tables.keep(bands.join(full, "key").select("key", "id", "m", "hub"), "members")
     shared = tables.keep(members.select("id").distinct(), "ids")
     small = shared.count() <= BROADCAST_IDS
     of_shared = lambda df: df.join(F.broadcast(shared) if small else shared, "id", "left_semi")
     sets = tables.keep(of_shared(rows).mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"]), "sets")
     sketches = tables.keep(of_shared(sketched.filter("n > 0").select("id", "n", "sketch")).dropDuplicates(["id"]), "sketches")
-    links = comps = seen = None
-    for k in range(HUB_ROUNDS + 1):
-        now = members.select("key", "id", F.col("id").alias("comp")) if comps is None else members.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        if k:
-            per = now.groupBy("key", "comp").agg(F.count("*").alias("m"), F.min("id").alias("least"))
-            most = per.groupBy("key").agg(F.max(F.struct("m", "comp", "least")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-            most = most.select("key", F.col("top.comp").alias("main"), F.col("top.least").alias("least"))
-            now = tables.keep(now.join(most, "key"), "open")
-            if now.isEmpty():
-                break
-        if k == 0:
-            pairs = members.join(full.select("key", "hub"), "key").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        elif k < HUB_ROUNDS:  # each member outside the main component meets one of that component, and the next in its own order
-            hub = now.filter("comp <> main").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(k))).alias("hub"))
-            pairs = now.join(hub, "key").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-            pairs = pairs.union(now.filter("comp <> main").select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b")))
-        else:
-            out, all_ = now.filter("comp <> main").alias("o"), now.alias("w")
-            cross = (F.col("o.key") == F.col("w.key")) & (F.col("o.comp") != F.col("w.comp")) & ((F.col("w.comp") == F.col("w.main")) | (F.col("o.id") < F.col("w.id")))
-            pairs = out.join(all_, cross).select(F.least("o.id", "w.id").alias("a"), F.greatest("o.id", "w.id").alias("b"))
-        pairs = pairs.distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+    links = None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Components of all links found so far and those of the pairs."""
+        nonlocal links
         a, b = sketches.alias("a"), sketches.alias("b")
-        pairs = pairs.alias("p").join(a, F.col("p.a") == F.col("a.id")).join(b, F.col("p.b") == F.col("b.id")).filter(_plausible(t)).select("p.a", "p.b")
-        pairs = tables.keep(pairs, "pairs")
-        seen = pairs if seen is None else seen.union(pairs)
-        found = tables.keep(_verified(pairs, sets, percent), "found")
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().alias("p")
+        pairs = pairs.join(a, F.col("p.x") == F.col("a.id")).join(b, F.col("p.y") == F.col("b.id")).filter(_plausible(t))
+        found = tables.keep(_verified(pairs.select(F.col("p.x").alias("a"), F.col("p.y").alias("b")), sets, percent), "found")
         links = found if links is None else links.union(found)
-        if k and found.isEmpty():
-            continue
-        comps = components(links, tables)
+        return components(links, tables)
+
+    def still_open(of: DataFrame, comps: DataFrame) -> DataFrame:
+        """Members of buckets in more than one component, with the component most members are in."""
+        now = of.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        per = now.groupBy("key", "comp").agg(F.count("*").alias("m"))
+        most = per.groupBy("key").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", "main")
+        return now.join(most, "key")
+
+    def crossing(now: DataFrame, more=True) -> DataFrame:
+        """Pairs of different components, one outside the main one, each once per bucket."""
+        o, w = now.filter("comp <> main").alias("o"), now.alias("w")
+        once = (F.col("w.comp") == F.col("w.main")) | (F.col("o.id") < F.col("w.id"))
+        pairs = o.join(w, (F.col("o.key") == F.col("w.key")) & (F.col("o.comp") != F.col("w.comp")) & once & more)
+        return pairs.select(F.col("o.id").alias("x"), F.col("w.id").alias("y"))
+
+    fits = F.least("o.n", "w.n") >= F.greatest("o.n", "w.n") * (t - 1e-9)
+    sizes = sketches.select("id", "n")
+    comps = linked(members.filter("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y")))
+    comps = linked(crossing(still_open(members.filter(f"m <= {SMALL}"), comps).join(sizes, "id"), fits))
+    large = members.filter(f"m > {SMALL}")
+    now = tables.keep(still_open(large, comps), "open")
+    if not now.isEmpty():
+        ids = now.select("id").distinct()
+        held = sets.join(ids, "id", "left_semi").select("id", F.explode("set").alias("g")).groupBy("g").agg(F.count("*").alias("m"), F.min("id").alias("id"))
+        private = held.filter("m = 1").groupBy("id").agg(F.count("*").alias("own"))
+        traits = tables.keep(ids.join(sizes, "id").join(private, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own")), "traits")
+        # Nothing outside its private shingles is left that could reach the similarity: such a text links with none here.
+        traits = traits.filter(F.col("n") - F.col("own") >= F.col("n") * (t - 1e-9))
+        hubs = tables.keep(now.join(traits, "id").groupBy("key").agg(F.min_by("id", F.struct(F.col("own") / F.col("n"), "id")).alias("centre")), "hubs")
+        of_hub = tables.keep(now.join(hubs, "key").join(traits, "id").filter("id <> centre").select("centre", "id", "n").distinct(), "of_hub")
+        comps = linked(of_hub.select(F.col("centre").alias("x"), F.col("id").alias("y")))
+        # What each has beside its centre. Two texts share at most what both share with the centre, and what they share beside it.
+        own_set, centre_set = sets.withColumnRenamed("set", "own_set"), sets.select(F.col("id").alias("centre"), F.col("set").alias("centre_set"))
+        beside = of_hub.join(own_set, "id").join(centre_set, "centre").select("centre", "id", "n", F.array_except("own_set", "centre_set").alias("beside"))
+        left = still_open(large, comps).join(hubs, "key").groupBy("centre", "id", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("out"))
+        left = tables.keep(left.join(beside, ["centre", "id"]), "beside")
+        o, w = left.filter("out").alias("o"), left.alias("w")
+        differ = (F.col("o.comp") != F.col("w.comp")) & (~F.col("w.out") | (F.col("o.id") < F.col("w.id"))) & fits
+        need = (F.col("o.n") + F.col("w.n")) * (t - 1e-9)
+        room = F.least(F.col("o.n") - F.size("o.beside"), F.col("w.n") - F.size("w.beside")) * (1 + t) >= need
+        ends = [F.col("o.id").alias("x"), F.col("w.id").alias("y")]
+        with_room = o.join(w, (F.col("o.centre") == F.col("w.centre")) & differ & room).select(*ends)
+        grams = left.select("centre", "id", "comp", "out", "n", F.explode("beside").alias("g"))
+        o, w = grams.filter("out").alias("o"), grams.alias("w")
+        comps = linked(with_room.union(o.join(w, (F.col("o.centre") == F.col("w.centre")) & (F.col("o.g") == F.col("w.g")) & differ).select(*ends)))
     for done in (members, sets, sketches):
         tables.drop(done)
     comp_of = folded.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(*[F.col(k).alias(f"k_{k}") for k in keys], F.coalesce("comp", "rep").alias("comp"))
@@ -230,9 +258,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component holds a smaller doc_id; repeated rows of a kept id stay as one."""
-    gone = link_components(docs, percent=percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without the rows whose component holds a smaller doc_id; repeated rows of a kept id stay."""
+    gone = sized(Tables(docs.sparkSession), link_components(docs, percent=percent).filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*docs.columns)
 
 
 #: The same result by joining all shingles, for small inputs.
