@@ -12,9 +12,9 @@ allowed: the Clopper-Pearson upper bound of the false rejection rate is then
 at most RISK. RISK is each rule's share of the allowed false rejection rate, and the
 error is CONFIDENCE's complement shared by all strata, rules and cutoffs that are
 tried (Bonferroni), so with that confidence no stratum loses more good documents
-than allowed. Of the safe cutoffs the lowest (strictest) that rejects any
-labelled bad document is taken; no safe cutoff: the rule rejects nothing
-there. Strata with few labels, and unlabelled strata, thus keep their texts.
+than allowed. Of the safe cutoffs that which rejects most labelled bad documents is
+taken, of equal ones the mildest; no safe cutoff: the rule rejects nothing there.
+Strata with few labels, and unlabelled strata, thus keep their texts.
 
 Defined cases: a null text has no words and fails the base rule; a null
 language is the stratum ''; a null id keeps its row; labels of one document that
@@ -35,8 +35,15 @@ from textmap.llm.shared import _SPACE, Tables, batches, ngrams, sized, with_colu
 #: Largest share of a stratum's good documents that all rules together may reject, and the confidence.
 MAX_FALSE_REJECTION, CONFIDENCE = 0.05, 0.95
 RULES = ("symbols", "repeats", "dup_lines", "shouts", "capitals")
-#: Cutoffs tried for each rule, as rates.
-GRID = (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.75)
+#: Cutoffs tried for each rule, as rates; equally many.
+GRIDS = {
+    "symbols": (0.02, 0.05, 0.1, 0.15, 0.2, 0.3),
+    "repeats": (0.05, 0.1, 0.15, 0.2, 0.25, 0.3),
+    "dup_lines": (0.1, 0.2, 0.3, 0.4, 0.5, 0.75),
+    "shouts": (0.1, 0.2, 0.3, 0.5, 0.75, 1.0),
+    "capitals": (0.2, 0.3, 0.4, 0.5, 0.6, 0.75),
+}
+TRIED = len(GRIDS["symbols"])
 #: More strata with labels than this are joined by a shuffle; fewer are sent to all tasks (about 100 bytes each).
 BROADCAST_STRATA = 10_000
 
@@ -123,18 +130,19 @@ def cutoffs(measures: DataFrame, labels: DataFrame) -> DataFrame:
     known = known.groupBy(F.col("label_id").cast("long").alias("label_id")).agg(F.min("quality").alias("good"))
     # What the base rule rejects is gone before the rules: it isn't theirs to lose.
     holdout = measures.select("q.*").filter("NOT base_failed").select("id", "stratum", *RULES).join(known, F.col("id") == F.col("label_id"))
-    rule = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("rate")) for r in RULES])).alias("r")
+    grids = [F.array(*map(F.lit, GRIDS[r])).alias("grid") for r in RULES]
+    rule = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("rate"), g) for r, g in zip(RULES, grids)])).alias("r")
     counts = []
-    for i, g in enumerate(GRID):
-        over = F.col("rate") > g
+    for i in range(TRIED):
+        over = F.col("rate") > F.col("grid")[i]
         counts += [F.sum((over & (F.col("good") == 1)).cast("int")).alias(f"good_{i}"), F.sum((over & (F.col("good") == 0)).cast("int")).alias(f"bad_{i}")]
-    table = holdout.select("stratum", "good", rule).select("stratum", "good", "r.*").groupBy("stratum", "rule").agg(F.sum((F.col("good") == 1).cast("int")).alias("n"), *counts)
-    tried = F.explode(F.array(*[F.struct(F.lit(g).alias("cutoff"), F.col(f"good_{i}").alias("k"), F.col(f"bad_{i}").alias("caught")) for i, g in enumerate(GRID)])).alias("t")
+    table = holdout.select("stratum", "good", rule).select("stratum", "good", "r.*").groupBy("stratum", "rule", "grid").agg(F.sum((F.col("good") == 1).cast("int")).alias("n"), *counts)
+    tried = F.explode(F.array(*[F.struct(F.col("grid")[i].alias("cutoff"), F.col(f"good_{i}").alias("k"), F.col(f"bad_{i}").alias("caught")) for i in range(TRIED)])).alias("t")
     table = table.select("stratum", "rule", "n", tried).select("stratum", "rule", "n", "t.*")
     table = Tables(measures.sparkSession).keep(table, "tried")
-    error = (1 - CONFIDENCE) / (len(RULES) * len(GRID) * max(1, table.select("stratum").distinct().count()))
+    error = (1 - CONFIDENCE) / (len(RULES) * TRIED * max(1, table.select("stratum").distinct().count()))
     safe = table.filter((F.col("n") > 0) & (F.col("caught") > 0)).filter(F.udf(_tail, "double")("k", "n", F.lit(MAX_FALSE_REJECTION / len(RULES))) <= error)
-    return safe.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    return safe.groupBy("stratum", "rule").agg(F.max(F.struct("caught", "cutoff"))["cutoff"].alias("cutoff"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -187,11 +195,11 @@ counts AS (
 known AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 tried AS (
   SELECT stratum, rule, cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND rate > cutoff) AS k, count(*) FILTER (good = 0 AND rate > cutoff) AS caught
-  FROM rates JOIN known USING (doc_id), (SELECT unnest([{', '.join(f'{g}::DOUBLE' for g in GRID)}]) AS cutoff) GROUP BY ALL
+  FROM rates JOIN known USING (doc_id) JOIN (VALUES {', '.join(f"('{r}', {g}::DOUBLE)" for r in RULES for g in GRIDS[r])}) AS g(rule, cutoff) USING (rule) GROUP BY ALL
 ), tails AS (
   SELECT t.*, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({MAX_FALSE_REJECTION / len(RULES)}) + (n - i) * ln({1 - MAX_FALSE_REJECTION / len(RULES)}))) FROM range(0, 10000) AS r(i) WHERE i <= k) AS tail FROM tried t WHERE n > 0
 ), chosen AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM tails WHERE caught > 0 AND k < n AND tail <= {1 - CONFIDENCE} / ({len(RULES) * len(GRID)} * (SELECT count(DISTINCT stratum) FROM tried)) GROUP BY 1, 2
+  SELECT stratum, rule, max_by(cutoff, caught + cutoff) AS cutoff FROM tails WHERE caught > 0 AND k < n AND tail <= {1 - CONFIDENCE} / ({len(RULES) * TRIED} * (SELECT count(DISTINCT stratum) FROM tried)) GROUP BY 1, 2
 ), broken AS (
   SELECT DISTINCT doc_id, rule FROM (SELECT doc_id, stratum, rule, rate FROM ({_LONG.replace(' WHERE NOT base_failed', '')})) r JOIN chosen USING (stratum, rule) WHERE rate > cutoff
 ), rejected AS (SELECT doc_id, string_agg(rule, ',' ORDER BY list_position({list(RULES)!r}, rule)) AS rules FROM broken GROUP BY 1)
