@@ -177,6 +177,25 @@ def test_nifti_and_coordinate_files(spark, tmp_path):
     assert coordinates.data_dir(str(tmp_path / "d")) == str(tmp_path / "d") and (tmp_path / "d").is_dir()
 
 
+def test_maps_command(spark, tmp_path):
+    from textmap.plans import maps_cli
+
+    (tmp_path / "m.nii.gz").write_bytes(nifti.dumps(np.ones((5, 5, 5), np.uint8), np.diag([2.0, 2.0, 2.0, 1.0])))
+    (tmp_path / "c.csv").write_text("id,x,y,z\n7,4,4,4\n8,0,0,0\n9,99,0,0\n")
+    maps_cli.main([str(tmp_path / "c.csv"), str(tmp_path / "m.nii.gz"), str(tmp_path / "out"), "--fwhm", "3"], spark)
+    maps = spark.read.parquet(str(tmp_path / "out"))
+    by = dict(space.iter_maps(maps))
+    assert set(by) == {7, 8} and sum(by[7].values()) == pytest.approx(1.0) and max(by[7], key=by[7].get) == 62
+
+
+def test_array_files(spark, tmp_path):
+    for name, value in {"coef": np.ones((2, 1)), "intercept": np.array([1.0, 2.0]), "selected_features": np.array([1])}.items():
+        np.save(tmp_path / f"{name}.npy", value)
+    model = encoder.load_arrays(spark, str(tmp_path), ["a", "b"], [0, 1])
+    rows = spark.createDataFrame([(0, "a", 5.0), (0, "b", 2.0)], "doc_id long, term string, value double")
+    assert {r.target: r.value for r in model.predict(rows).collect()} == {0: 3.0, 1: 4.0}
+
+
 def test_encoder_finds_its_own_terms(spark, tmp_path):
     terms = [f"feature{i}" for i in range(10, 22)]
     rng = np.random.default_rng(3)

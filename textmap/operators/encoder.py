@@ -67,6 +67,16 @@ def import_arrays(spark: SparkSession, terms: list[str], targets: list, coef: np
     return LinearModel.of(fitted, spark)
 
 
+def load_arrays(spark: SparkSession, folder: str, terms: list[str], targets: list) -> LinearModel:
+    """A model from a folder of .npy files: coef and intercept, and of M, residual_var and selected_features what is there."""
+    import io
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).select("path", "content").collect()
+    found = {r["path"].rsplit("/", 1)[-1].removesuffix(".npy"): np.load(io.BytesIO(bytes(r["content"]))) for r in files}
+    own = {k: found[k] for k in ("coef", "intercept", "M", "residual_var", "selected_features") if k in found}
+    return import_arrays(spark, terms, targets, **own)
+
+
 @dataclasses.dataclass
 class SmoothedModel:
     """Smoothing (factor v: term, component, value) and regression; smoothing is applied to what is predicted from, not to what was fitted."""
