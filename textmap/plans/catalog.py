@@ -159,8 +159,8 @@ _SPANS = _MATCH + rf"""
 gaps AS (SELECT doc_id, t, regexp_split_to_array(text, '{T.WORD_PATTERN}') AS g FROM tok),
 tokens AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS token, unnest(g[1:len(t)]) AS gap FROM gaps),
 ends AS (SELECT doc_id, i, token, sum(length(gap) + length(token)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM tokens),
-spans AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, e - length(token) AS s, e FROM ends WHERE lower(token) NOT IN ({_STOPS})),
-phrases AS MATERIALIZED (SELECT f.doc_id, f.pos, f.phrase, a.s::BIGINT AS "start", b.e::BIGINT AS "end" FROM found f JOIN spans a ON a.doc_id = f.doc_id AND a.i = f.i JOIN spans b ON b.doc_id = f.doc_id AND b.i = f.i + f.n - 1 WHERE f.n > 0),
+spans AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, e - length(token) AS s, e, lead(e) OVER (PARTITION BY doc_id ORDER BY i) AS e2 FROM ends WHERE lower(token) NOT IN ({_STOPS})),
+phrases AS MATERIALIZED (SELECT f.doc_id, f.pos, f.phrase, a.s::BIGINT AS "start", (CASE WHEN f.n = 2 THEN a.e2 ELSE a.e END)::BIGINT AS "end" FROM found f JOIN spans a ON a.doc_id = f.doc_id AND a.i = f.i WHERE f.n > 0),
 """
 
 
