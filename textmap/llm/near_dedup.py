@@ -244,6 +244,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ends = [F.col("o.id").alias("x"), F.col("w.id").alias("y")]
         with_room = o.join(w, (F.col("o.centre") == F.col("w.centre")) & differ & room).select(*ends)
         grams = left.select("centre", "id", "comp", "out", "n", F.explode("beside").alias("g"))
+        # Shingles that the very same texts have (those of one edit, say) bring the same pairs: one of them does.
+        holders = grams.groupBy("centre", "g").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2")).filter("m > 1")
+        grams = grams.join(holders.groupBy("centre", "m", "h1", "h2").agg(F.min("g").alias("g")).select("centre", "g"), ["centre", "g"])
         o, w = grams.filter("out").alias("o"), grams.alias("w")
         comps = linked(with_room.union(o.join(w, (F.col("o.centre") == F.col("w.centre")) & (F.col("o.g") == F.col("w.g")) & differ).select(*ends)))
     for done in (members, sets, sketches):
