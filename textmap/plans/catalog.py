@@ -420,7 +420,7 @@ def smoothed_maps(spark, sf_dir):
 
 
 def _maps(spark, sf_dir) -> DataFrame:
-    return space.coordinates_to_maps(_coords(spark, sf_dir).filter("study_id % 20 = 0"), space.ellipsoid_mask(spark, GRID), GRID, FWHM)
+    return space.coordinates_to_maps(_coords(spark, sf_dir), space.ellipsoid_mask(spark, GRID), GRID, FWHM)
 
 
 _TARGET = space.Grid.regular((14, 16, 14), 6.0, (-40.0, -48.0, -40.0))
@@ -444,7 +444,7 @@ s AS (SELECT query_id, 'term' || study_id AS term, sum(abs(q.value) * m.value) *
 SELECT query_id, term, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) <= 20""")
 def reverse_terms_topk(spark, sf_dir):
     maps = _maps(spark, sf_dir)
-    q = maps.filter("study_id % 100 = 0").select(F.col("study_id").alias("query_id"), "voxel_id", (-F.col("value")).alias("value"))
+    q = maps.filter("study_id % 20 = 0").select(F.col("study_id").alias("query_id"), "voxel_id", (-F.col("value")).alias("value"))
     terms = maps.select(F.concat(F.lit("term"), "study_id").alias("term"), "voxel_id", "value")
     df = maps.select("study_id").distinct().select(F.concat(F.lit("term"), "study_id").alias("term"), F.col("study_id").alias("n_documents"))
     return _rounded(ranking.terms_of_map(q, terms, df), "score").select("query_id", "term", "score")
@@ -457,7 +457,7 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY
 SELECT query_id, study_id, round(score, 6) AS score, 'study ' || study_id AS title FROM b WHERE study_id % 3 <> 0""")
 def reverse_studies_topk(spark, sf_dir):
     maps = _maps(spark, sf_dir)
-    q = maps.filter("study_id % 100 = 0").select(F.col("study_id").alias("query_id"), "voxel_id", (-F.col("value")).alias("value"))
+    q = maps.filter("study_id % 20 = 0").select(F.col("study_id").alias("query_id"), "voxel_id", (-F.col("value")).alias("value"))
     known = maps.select("study_id").distinct().filter("study_id % 3 <> 0").withColumn("title", F.concat(F.lit("study "), "study_id"))
     return _rounded(ranking.studies_of_map(q, maps, known), "score").select("query_id", "study_id", "score", "title")
 
