@@ -361,3 +361,28 @@ def test_leaks_match_brute_force(spark):
     left = decontaminate.without_contaminated(docs, bench)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, _ in texts} - {d for d, _ in got}
     assert decontaminate.contaminated_spans(docs, bench.limit(0)).count() == 0 and decontaminate.without_contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_substitutions_at_any_place_are_found(spark):
+    """Against every window of every diagonal, which is judged by the rule alone."""
+    rng = random.Random(21)
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in (5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 16, 20, 25, 40)]
+    texts = []
+    for _ in range(30):
+        for n, t in items:
+            w = t.split()
+            for k in rng.sample(range(n), rng.choice((n // 5, n // 5 + 1))):
+                w[k] = "other"
+            texts.append((len(texts), " ".join(["before"] * rng.randrange(4) + w + ["after"] * rng.randrange(4))))
+    want = set()
+    for d, t in texts:
+        own = t.split()
+        for n, item in items:
+            it, least = item.split(), min(n, 13)
+            for shift in range(-n + 1, len(own)):
+                equal = [own[p] == it[p - shift] for p in range(max(0, shift), min(len(own), shift + n))]
+                if any(5 * sum(equal[a:b]) >= 4 * (b - a) for a in range(len(equal)) for b in range(a + least, len(equal) + 1)):
+                    want.add((d, n))
+    rows = decontaminate.contaminated_spans(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(want) > len(texts) / 2
+    assert all(5 * r.n_equal >= 4 * (r.end_token - r.start_token) and r.end_token - r.start_token >= min(13, r.item_tokens) for r in rows)
