@@ -162,6 +162,23 @@ def test_cut_repeats_keeps_first_copies_only(spark):
     assert suffix_dedup.cut_repeats(docs.limit(0)).count() == 0
 
 
+def test_passages_that_end_in_common_text(spark):
+    """Pairs that share 55 words, of which the last 40 or 45 are in many other documents too."""
+    rng = random.Random(7)
+    texts = []
+    for common in (40, 45):
+        shared = prose(rng, common)
+        for k in range(40):
+            own = prose(rng, 55 - common)
+            texts += [(len(texts) + n, f"{prose(rng, 20)} {own} {shared} {prose(rng, 30)}") for n in range(2)]
+    rng.shuffle(texts)
+    docs = documents(spark, texts)
+    spans = suffix_dedup.repeated_passages(docs).collect()
+    assert {(r.doc_id, j) for r in spans for j in range(r.start_word, r.end_word)} == brute_cover(texts)
+    assert {r.doc_id for r in spans} == {i for i, _ in texts}
+    assert not brute_cover([(r.doc_id, r.text) for r in suffix_dedup.cut_repeats(docs).collect()])
+
+
 # 5 URL filters
 
 

@@ -7,21 +7,22 @@ suffix at the same place among their first 24 words, so at least 27 words of
 the passage follow it.
 
 1. Retained suffixes whose first 27 words occur once can't repeat; they go.
-2. The others are sorted by their words (27 as one hash, then 23 more as 32-bit
-   codes), with the words before them, read backwards, as the next key. The sort
-   is by range, so one very common passage spreads over many tasks.
-3. Each suffix meets its four predecessors in that order. The common prefix
-   extends the match right, the common words before it extend it left; matches
-   of at least 50 words in all count. Rows at the edges of a range meet those of
-   the next range in a second, small pass. Longer passages are the union of the
-   matches of their suffixes.
+2. A run of more than five suffixes is matched by windows: each way to have 50
+   words with the run among them (0 to 23 words left of it, the rest right) is a
+   hash. Hashes are counted, with their first (document, position), by partial
+   aggregation, so one very common passage stays small; those of more than one
+   suffix are matches of 50 words. This compares every suffix with all others.
+3. The suffixes of other runs are sorted by their words (27 as one hash, then 23
+   more as 32-bit codes), with the words before them, read backwards, as the next
+   key. Each meets its four predecessors in that order, so all of its run. The
+   common prefix extends the match right, the common words before it extend it
+   left; matches of at least 50 words in all count. Rows at the edges of a range
+   meet those of the next range in a second, small pass. Longer passages are the
+   union of the matches of their suffixes.
 4. The copy with the smallest (document, position) stays. Of any other copy those
    words go that a run has in a smaller place, and those around it that a smaller
    copy was seen to have too: whatever goes is left in some smaller place.
 
-A passage can be missed only where two other copies agree with it further right
-than its true partner but not as far left, at each of its suffixes.
-
 Defined cases: null or short texts have no passages; rows with a null id take no
 part; repeated rows of one id don't count as copies of each other; passages
 repeated inside one document count. Extra columns are ignored (find) or kept (cut).
@@ -33,7 +34,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmap.llm.shared import PIECE, Tables, U, _P, _PINV, _powers_of, batches, mix, ngrams, signed, sized, with_columns_renamed_apart, word_codes
@@ -113,8 +114,9 @@ def _contexts(stream):
                     own.field("pos"),
                     own.field("first_id"),
                     own.field("first_pos"),
+                    own.field("many"),
                 ],
-                names=["run", "right", "left", "id", "pos", "first_id", "first_pos"],
+                names=["run", "right", "left", "id", "pos", "first_id", "first_pos", "many"],
             )
 
 
@@ -131,6 +133,75 @@ def _common(a, b) -> np.ndarray:
     return np.minimum(differs.argmax(axis=1), np.minimum(nx, ny))
 
 
+def _hashes_of_sides(batch) -> tuple[list, list, np.ndarray, np.ndarray]:
+    """Hashes of the run with its first 0 to SIDE words right of it, and with those left of it, and how many each suffix has."""
+    (right, n_right), (left, n_left) = (_matrix(batch.column(k).to_pylist()) for k in (1, 2))
+    run = batch.column(0).to_numpy().view(np.uint64)
+    after, before = [mix(run)], [mix(run + U(1))]
+    with np.errstate(over="ignore"):
+        for out, words in ((after, right), (before, left)):
+            for k in range(SIDE):
+                out.append(mix(out[-1] * _P + words[:, k].astype(np.uint64) + U(1)))
+    return after, before, n_right, n_left
+
+
+def _whole_contexts(stream):
+    """Each suffix with a hash of all that is held of the words around it, and the span of those."""
+    for batch in stream:
+        if batch.num_rows:
+            after, before, n_right, n_left = _hashes_of_sides(batch)
+            row = np.arange(batch.num_rows)
+            with np.errstate(over="ignore"):
+                key = mix(np.array(before)[n_left, row] * _PINV + np.array(after)[n_right, row] + (n_left * 64 + n_right).astype(np.uint64))
+            ints = [pa.array(x.astype(np.int32)) for x in (n_left, n_right)]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *[batch.column(c) for c in (3, 4, 5, 6)], *ints], names=["context", "id", "pos", "first_id", "first_pos", "n_left", "n_right"])
+
+
+def _windows(stream):
+    """The hashes of the windows of MIN_WORDS words around each run, with the words that each has left of it."""
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        after, before, n_right, n_left = _hashes_of_sides(batch)
+        for j in range(SIDE + 1):
+            at = np.flatnonzero((n_left >= j) & (n_right >= SIDE - j))
+            with np.errstate(over="ignore"):
+                key = mix(before[j][at] * _PINV + after[SIDE - j][at] + U(j))
+            columns = [pa.array(signed(key)), *[batch.column(c).take(pa.array(at)) for c in (3, 4)], pa.array(np.full(len(at), j, np.int8))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "pos", "left"])
+
+
+def _place() -> Column:
+    """(id, pos) as one number, so that their minimum is a hash aggregate."""
+    return (F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")).cast("decimal(38,0)")
+
+
+def _matches_of_windows(keyed: DataFrame, tables: Tables) -> DataFrame:
+    """The spans of the windows that more than one suffix has; keyed: suffixes of runs that many have.
+
+    Suffixes with equal words on both sides have equal windows: the first of them stands for all.
+    """
+    at = ["id", "pos", "first_id", "first_pos"]
+    whole = keyed.select(*_KEYS).mapInArrow(_whole_contexts, "context long, id long, pos int, first_id long, first_pos int, n_left int, n_right int").withColumn("place", _place())
+    firsts = whole.groupBy("context").agg(F.count("*").alias("n"), F.min("place").alias("first_place"))
+    repeated = sized(tables, firsts.filter("n > 1").select("context", "first_place"), "contexts")
+    start, end = F.col("pos") - F.col("n_left"), F.col("pos") + RUN + F.col("n_right")
+    copies = whole.filter(F.col("n_left") + F.col("n_right") >= SIDE).join(repeated, "context")
+    later = F.col("place") > F.col("first_place")
+    spans = (start, end, F.when(later, start).otherwise(F.col("pos")), F.when(later, end).otherwise(F.col("pos") + RUN))
+    copies = tables.keep(copies.select(*at, *[x.cast("int").alias(c) for x, c in zip(spans, _NAMES[-4:])], later.alias("later")), "copies")
+    alone = keyed.join(copies.filter("later").select("id", "pos"), ["id", "pos"], "left_anti")
+    alone = tables.keep(alone.select(*_KEYS), "distinct")
+    windows = alone.mapInArrow(_windows, "key long, id long, pos int, left byte")
+    shared = windows.withColumn("place", _place()).groupBy("key").agg(F.count("*").alias("n"), F.min("place").alias("first_place")).filter("n > 1").select("key", "first_place")
+    found = windows.join(sized(tables, shared, "windows"), "key")
+    start, later = F.col("pos") - F.col("left"), _place() > F.col("first_place")
+    spans = (start, start + MIN_WORDS, F.when(later, start).otherwise(F.col("pos")), F.when(later, start + MIN_WORDS).otherwise(F.col("pos") + RUN))
+    found = found.select("id", "pos", *[x.cast("int").alias(c) for x, c in zip(spans, _NAMES[-4:])]).groupBy("id", "pos").agg(*_widest())
+    found = found.join(alone.select(*at), ["id", "pos"]).select(*at, *_NAMES[-4:])
+    return found.union(copies.drop("later"))
+
+
 class Matches:
     """For each sorted suffix the words left of it and right of its run that its best matches reach (-1: none).
 
@@ -212,18 +283,19 @@ def _edge(rows: pa.Table):
 
 def _neighbours(stream):
     """Matches of a sorted range; its first and last rows come too, without a span, for the pass over edges."""
-    held, first, state = None, None, {}
+    held, first, state, seen = None, None, {}, 0
     for batch in stream:
         new = pa.Table.from_batches([batch])
         if not new.num_rows:
             continue
+        seen += new.num_rows
         rows = new if held is None else pa.concat_tables([held, new]).combine_chunks()
         if first is None or first.num_rows < LOOK_BACK:
             first = rows.slice(0, LOOK_BACK)
         yield _compared(rows, 0 if held is None else held.num_rows, state)
         held = rows.slice(max(0, rows.num_rows - LOOK_BACK))
     if held is not None:
-        yield from _edge(pa.concat_tables([first, held]))
+        yield from _edge(pa.concat_tables([first, held.slice(max(0, first.num_rows + held.num_rows - seen))]))
 
 
 def _neighbours_of_edges(stream):
@@ -279,6 +351,10 @@ def _spans(stream):
         )
 
 
+def _widest():
+    return [f(c).alias(c) for f, c in zip((F.min, F.max, F.min, F.max), _NAMES[-4:])]
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start_word, end_word, first_doc_id, repeat: passages of 50 words or more that occur more than once.
 
@@ -287,21 +363,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tables = Tables(docs.sparkSession)
     rows = with_columns_renamed_apart(docs, {id_col: "id", text_col: "text"}).select(F.col("id").cast("long"), F.col("text").cast("string")).filter("id IS NOT NULL")
     suffixes = rows.mapInArrow(_suffixes, "run long, id long, pos int")
-    runs = suffixes.groupBy("run").agg(F.count("*").alias("m"), F.min("id").alias("first_id")).filter("m > 1").select("run", "first_id")
+    runs = suffixes.groupBy("run").agg(F.count("*").alias("m"), F.min("id").alias("first_id")).filter("m > 1").select("run", "first_id", (F.col("m") > LOOK_BACK + 1).alias("many"))
     alive = tables.keep(suffixes.join(runs, "run"), "suffixes")
     # The first copy's position, where the first document holds the run more than once.
     first = alive.filter("id = first_id").groupBy("run").agg(F.min("pos").alias("first_pos"))
-    per_doc = alive.join(first, "run").groupBy("id").agg(F.collect_set(F.struct("run", "pos", "first_id", "first_pos")).alias("found"))
-    keyed = tables.keep(rows.dropDuplicates(["id"]).join(per_doc, "id").select("id", "text", "found").mapInArrow(_contexts, _KINDS), "contexts")
+    per_doc = alive.join(first, "run").groupBy("id").agg(F.collect_set(F.struct("run", "pos", "first_id", "first_pos", "many")).alias("found"))
+    keyed = tables.keep(rows.dropDuplicates(["id"]).join(per_doc, "id").select("id", "text", "found").mapInArrow(_contexts, _KINDS + ", many boolean"), "contexts")
     order = ["run", "right", "left", "id", "pos"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    compared = tables.keep(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _KINDS + _SPAN_KINDS), "compared")
+    spans = ["id", "pos", "first_id", "first_pos", *_NAMES[-4:]]
+    of_windows = tables.keep(_matches_of_windows(keyed.filter("many"), tables).groupBy(*spans[:4]).agg(*_widest()), "windows")
+    compared = tables.keep(keyed.filter("NOT many").select(*_KEYS).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _KINDS + _SPAN_KINDS), "compared")
     tables.drop(keyed)
     edges = compared.filter("start IS NULL").select(*_KEYS)
     edges = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours_of_edges, _KINDS + _SPAN_KINDS)
-    hits = compared.filter("start IS NOT NULL").union(edges).groupBy("id", "pos", "first_id", "first_pos").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min("cut_start").alias("cut_start"), F.max("cut_end").alias("cut_end")
-    )
+    hits = compared.filter("start IS NOT NULL").union(edges).select(*spans).union(of_windows.select(*spans)).groupBy(*spans[:4]).agg(*_widest())
     own = F.struct("start", "end", "cut_start", "cut_end", "first_id", ((F.col("id") == F.col("first_id")) & (F.col("pos") == F.col("first_pos"))).alias("is_first"))
     return hits.groupBy("id").agg(F.collect_list(own).alias("own")).mapInArrow(_spans, "doc_id long, start_word long, end_word long, first_doc_id long, repeat boolean")
 
