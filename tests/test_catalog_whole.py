@@ -53,3 +53,9 @@ def test_maps_of_all_studies(spark, small, name):
     assert plain(got) == plain(want)
     ids = {"reverse_terms_topk": "term"}.get(name, "study_id")
     assert got[ids].nunique() > 10
+
+
+def test_all_documents_are_smoothed(spark, small):
+    folder, con = small
+    got, want = catalog.QUERIES["smooth_vectors"](spark, folder).toPandas(), con.execute(whole("smooth_vectors", ("doc_id % 20 = 0 AND ", ""))).df()
+    assert plain(got) == plain(want) and got["doc_id"].nunique() == STUDIES

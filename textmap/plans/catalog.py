@@ -328,9 +328,8 @@ def _factor(spark, voc: DataFrame) -> DataFrame:
 @query(_WITH + _SMOOTH + "x AS (SELECT 1) SELECT doc_id, term, round(value, 6) AS value FROM smooth WHERE doc_id % 20 = 0 AND value <> 0")
 def smooth_vectors(spark, sf_dir):
     v = vectors.Vectorizer(_pipeline(spark, sf_dir))
-    q = _query_vectors(spark, sf_dir, v)
-    out = smoothing.smoothed(q, _factor(spark, v.pipeline.vocabulary_table(spark)), key="query_id")
-    return _rounded(out, "value").withColumnRenamed("query_id", "doc_id")
+    out = smoothing.smoothed(v.transform(_docs(spark, sf_dir)), _factor(spark, v.pipeline.vocabulary_table(spark)))
+    return _rounded(out, "value")
 
 
 @query(_WITH + _V + "gram AS (SELECT component AS c, sum(f * f) AS g FROM v GROUP BY 1) SELECT term, component, round(f / sqrt(f * f * g), 6) AS value FROM v JOIN gram ON component = c")
