@@ -59,3 +59,9 @@ def test_all_documents_are_smoothed(spark, small):
     folder, con = small
     got, want = catalog.QUERIES["smooth_vectors"](spark, folder).toPandas(), con.execute(whole("smooth_vectors", ("doc_id % 20 = 0 AND ", ""))).df()
     assert plain(got) == plain(want) and got["doc_id"].nunique() == STUDIES
+
+
+def test_all_studies_are_unmasked(spark, small):
+    folder, con = small
+    got, want = catalog.QUERIES["unmask_project"](spark, folder).toPandas(), con.execute(whole("unmask_project", (" WHERE study_id % 50 = 0", ""))).df()
+    assert plain(got) == plain(want) and got["study_id"].nunique() > 40

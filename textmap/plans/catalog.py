@@ -409,7 +409,7 @@ def mask_project(spark, sf_dir):
 @query(_VOXELS + "x AS (SELECT DISTINCT study_id FROM peaks WHERE study_id % 50 = 0) SELECT study_id, i, j, k, coalesce(value, 0) AS value FROM x CROSS JOIN mask LEFT JOIN peaks USING (study_id, i, j, k)")
 def unmask_project(spark, sf_dir):
     mask = space.ellipsoid_mask(spark, GRID)
-    peaks = space.peaks(_coords(spark, sf_dir).filter("study_id % 50 = 0"), GRID)
+    peaks = space.peaks(_coords(spark, sf_dir).filter("study_id IS NOT NULL"), GRID)
     return space.unmasked(space.masked(peaks, mask), mask, peaks.select("study_id").distinct())
 
 
