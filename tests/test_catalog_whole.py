@@ -65,3 +65,9 @@ def test_all_studies_are_unmasked(spark, small):
     folder, con = small
     got, want = catalog.QUERIES["unmask_project"](spark, folder).toPandas(), con.execute(whole("unmask_project", (" WHERE study_id % 50 = 0", ""))).df()
     assert plain(got) == plain(want) and got["study_id"].nunique() > 40
+
+
+def test_codecs_of_all_tokens(spark, small):
+    folder, con = small
+    got, want = catalog.QUERIES["phrase_codecs"](spark, folder).toPandas(), con.execute(whole("phrase_codecs", ("k[1:2]", "k"))).df()
+    assert plain(got) == plain(want) and (got["head"].str.count("[|]") >= 2).all()

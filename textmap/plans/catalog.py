@@ -126,8 +126,7 @@ def standardized_text(spark, sf_dir):
 @query(_WITH + "x AS (SELECT 1) SELECT doc_id, array_to_string(list_transform(string_split(array_to_string(k[1:2], ' '), ' '), lambda w: w), '|') AS head FROM kept")
 def phrase_codecs(spark, sf_dir):
     tokens = text.Pipeline().standard_tokens(F.col("text"))
-    phrase = T.join_phrase(F.slice(tokens, 1, 2))
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(T.split_phrase(phrase), "|").alias("head"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(T.split_phrase(T.join_phrase(tokens)), "|").alias("head"))
 
 
 # Phrases
