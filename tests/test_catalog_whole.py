@@ -1,6 +1,7 @@
 """Queries that must take in every row, on small tables: their SQL without its id filters, or the operator's rule itself."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from textmap.plans import catalog
@@ -71,3 +72,12 @@ def test_codecs_of_all_tokens(spark, small):
     folder, con = small
     got, want = catalog.QUERIES["phrase_codecs"](spark, folder).toPandas(), con.execute(whole("phrase_codecs", ("k[1:2]", "k"))).df()
     assert plain(got) == plain(want) and (got["head"].str.count("[|]") >= 2).all()
+
+
+def test_the_tolerance_ends_the_factorisation(spark, monkeypatch):
+    x = spark.createDataFrame([(0, "f00", -1.0)], "study_id long, term string, value double")
+    monkeypatch.setattr(catalog, "_xy", lambda spark, sf_dir: (x, None, None))
+    asked = {}
+    monkeypatch.setattr(catalog.smoothing, "factor", lambda vectors, terms, **settings: asked.update(settings) or np.ones((len(terms), 1)))
+    catalog.nmf_factor(spark, "")
+    assert asked.get("max_rounds", catalog.smoothing.MAX_ROUNDS) == catalog.smoothing.MAX_ROUNDS

@@ -546,7 +546,8 @@ def ridge_z_maps(spark, sf_dir):
 def nmf_factor(spark, sf_dir):
     x, _, _ = _xy(spark, sf_dir)
     x = x.select(F.col("study_id").alias("doc_id"), "term", F.abs("value").alias("value"))
-    return smoothing.factor_table(spark, smoothing.factor(x, _TERMS, n_components=4, max_rounds=10), _TERMS)
+    # The rank must be below the 64 terms; the targets are four sums, so it is four. The tolerance ends the rounds.
+    return smoothing.factor_table(spark, smoothing.factor(x, _TERMS, n_components=4), _TERMS)
 
 
 # Serving a fixed model: coefficients 1 / (1 + term) for even targets, a banded filter gram
