@@ -6,18 +6,20 @@ words; a null or wordless text has none and links with nothing).
 
 1. Sketch. Each shingle hash picks one of 96 buckets; a bucket keeps its
    smallest value as a 16-bit register: leading-zero count plus ten mantissa
-   bits, 0 if empty. Equal sets are folded to one representative (smallest id).
+   bits, 0 if empty. Rows with equal sets are one node.
 2. Band. Four compressed registers are one 64-bit key; a pair at similarity
    0.85 misses all 24 bands with a probability of 2e-8.
-3. Candidates. In each bucket every member first meets the bucket's hub, its
-   smallest id. Verified links are folded to components, and only pairs of one
+3. Candidates. In each bucket every member first meets the bucket's hub, the
+   first of its nodes. Verified links are folded to components, and only pairs of one
    bucket that could still join two components are looked at from then on: all of
    them in buckets of at most SMALL members; in larger ones the members meet the
    member with the fewest private shingles (those that no other member of such
-   buckets has), the centre. Those outside the bucket's largest component then meet
-   every other member with whom they share a shingle that the centre lacks, and
-   every one where what both share with the centre leaves room for the similarity;
-   no other pair can reach it. No bucket and no number of partners is capped.
+   buckets has), the centre. Those outside the bucket's largest component then
+   meet the others where what both share with the centre leaves room for the
+   similarity. Any other pair must share a certain number of the shingles that
+   the centre lacks; it meets if it shares one of the rarest of those, all but that
+   number less one (the prefix filter). No other pair can reach the similarity,
+   and no bucket and no number of partners is capped.
 4. Estimate. Matching registers, corrected for collisions of registers that
    hold different values, give a Jaccard estimate; pairs five standard errors
    below the threshold go.
@@ -27,8 +29,9 @@ The result is the components of the verified links. Links whose ends are
 connected already aren't all listed: components are the result.
 
 Defined cases: rows with a null id link nothing and keep their row
-(component null, kept true); repeated rows share a component; two texts with
-one id are two documents. Extra columns are ignored.
+(component null, kept true); repeated rows share a component; rows of one id
+with different texts are judged each by its own text, in any order of rows; an
+empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textmap.llm.shared import Tables, U, batches, mix, ngrams, signed, sized, with_columns_renamed_apart, word_codes
@@ -46,6 +50,8 @@ SHINGLE = 5
 COLLISION = 0.169919487159739093975315012348
 #: Buckets of at most this many members are compared in full.
 SMALL = 32
+#: Links up to this many (16 bytes each) are joined in one task.
+LINKS_IN_ONE_TASK = 1_000_000
 #: Candidate ids up to this many are sent to all tasks (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 MASK52 = U((1 << 52) - 1)
@@ -90,31 +96,34 @@ def _list(rows: np.ndarray, width: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * width + 1, width), pa.int32()), pa.array(rows.ravel(), pa.int64()))
 
 
+def _fingerprints(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Two 64-bit sums over a set's shingles: with the size they stand for the set."""
+    with np.errstate(over="ignore"):
+        f1 = np.array([mix(s).sum() if len(s) else U(0) for s in sets], np.uint64)
+        f2 = np.array([mix(s + U(77)).sum() if len(s) else U(0) for s in sets], np.uint64)
+    return pa.array(signed(f1)), pa.array(signed(f2))
+
+
 def _sketch(stream):
     for batch in stream:
         texts = _texts(batch.column(1))
         for a, b in batches(texts):
             sets = shingle_sets(texts[a:b])
             packed = registers(sets).view(np.int64)
-            with np.errstate(over="ignore"):
-                f1 = np.array([mix(s).sum() if len(s) else U(0) for s in sets], np.uint64)
-                f2 = np.array([mix(s + U(77)).sum() if len(s) else U(0) for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(f1)), pa.array(signed(f2)), _list(packed, BUCKETS // ROWS)],
-                names=["id", "n", "f1", "f2", "sketch"],
-            )
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sizes, *_fingerprints(sets), _list(packed, BUCKETS // ROWS)], names=["id", "n", "f1", "f2", "sketch"])
 
 
 def _sets(stream):
     for batch in stream:
-        texts = _texts(batch.column(1))
+        texts = _texts(batch.column(0))
         for a, b in batches(texts):
             sets = shingle_sets(texts[a:b])
+            f1, f2 = _fingerprints(sets)
             ends = np.cumsum([0] + [len(s) for s in sets])
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(flat)))], names=["id", "set"]
-            )
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(flat)))
+            yield pa.RecordBatch.from_arrays([f1, f2, pa.array([len(s) for s in sets], pa.int64()), lists], names=["f1", "f2", "n", "set"])
 
 
 def _fold(bits: int, mask: int):
@@ -144,13 +153,39 @@ def _plausible(threshold: float) -> F.Column:
     return smaller & (j >= threshold - 5 * F.sqrt(threshold * (1 - threshold) / used))
 
 
+def _joined(stream):
+    """Union-find over the links of one task: (id, the smallest id of its component)."""
+    low: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root = x
+        while low[root] != root:
+            root = low[root]
+        while low[x] != root:
+            low[x], x = root, low[x]
+        return root
+
+    for batch in stream:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for x in (a, b):
+                low.setdefault(x, x)
+            a, b = top(a), top(b)
+            low[max(a, b)] = min(a, b)
+    ids = list(low)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(x) for x in ids], pa.int64())], names=["id", "comp"])
+
+
 def components(links: DataFrame, tables: Tables) -> DataFrame:
     """(id, comp): the smallest id reachable, for every id that a link (a, b) names.
 
-    Labels fall to the smallest label among neighbours, then to their label's
-    own label, until none changes. Long chains shrink by halves.
+    Up to LINKS_IN_ONE_TASK links are joined by one task of an executor. More are joined by
+    rounds: labels fall to the smallest label among neighbours, then to their label's
+    own label, until none changes; long chains shrink by halves.
     """
     spark = links.sparkSession
+    links = tables.keep(links.select("a", "b"), "pairs")
+    if links.count() <= LINKS_IN_ONE_TASK:
+        return tables.keep(links.coalesce(1).mapInArrow(_joined, "id long, comp long"), "joined")
     both = tables.keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = tables.keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
@@ -179,8 +214,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = with_columns_renamed_apart(docs, {id_col: "id", text_col: "text"}).select(F.col("id").cast("long"), F.col("text").cast("string"))
     sketched = tables.keep(rows.mapInArrow(_sketch, "id long, n long, f1 long, f2 long, sketch array<long>"), "sketch")
     keys = ["f1", "f2", "n"]
-    folded = sketched.filter("n > 0 AND id IS NOT NULL").groupBy(*keys).agg(F.min("id").alias("rep"))
-    reps = sketched.join(folded.withColumnRenamed("rep", "id"), ["id", *keys], "left_semi").select("id", "n", "sketch").dropDuplicates(["id", "n"])
+    # A node is a distinct set, whatever the ids of its rows; `id` from here on is a node's hash, `rep` the smallest id of its rows.
+    node = F.xxhash64(*keys).alias("id")
+    folded = tables.keep(sketched.filter("n > 0 AND id IS NOT NULL").groupBy(*keys).agg(F.min("id").alias("rep")).select(node, *keys, "rep"), "nodes")
+    reps = sketched.withColumnRenamed("id", "rep").join(folded.select("rep", *keys), ["rep", *keys], "left_semi").select(node, "n", "sketch").dropDuplicates(["id"])
     # One key for band and registers; empty bands stand for nothing and make no bucket.
     bands = reps.select("id", F.posexplode("sketch").alias("band", "key")).filter("key <> 0").select("id", F.xxhash64("band", "key").alias("key"))
     full = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).filter("m > 1")
@@ -188,19 +225,26 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = tables.keep(members.select("id").distinct(), "ids")
     small = shared.count() <= BROADCAST_IDS
     of_shared = lambda df: df.join(F.broadcast(shared) if small else shared, "id", "left_semi")
-    sets = tables.keep(of_shared(rows).mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"]), "sets")
-    sketches = tables.keep(of_shared(sketched.filter("n > 0").select("id", "n", "sketch")).dropDuplicates(["id"]), "sketches")
-    links = None
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Components of all links found so far and those of the pairs."""
-        nonlocal links
+    holders = tables.keep(of_shared(folded).select(F.col("rep").alias("id")).distinct(), "holders")
+    texts = rows.join(F.broadcast(holders) if small else holders, "id", "left_semi").select("text")
+    sets = tables.keep(of_shared(texts.mapInArrow(_sets, "f1 long, f2 long, n long, set array<long>").select(node, "set")).dropDuplicates(["id"]), "sets")
+    sketches = tables.keep(of_shared(reps), "sketches")
+    comps = spark.createDataFrame([], "id long, comp long")
+
+    def linked(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        """Components of the links so far (comps) and those of the pairs; only links between components are followed."""
         a, b = sketches.alias("a"), sketches.alias("b")
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().alias("p")
         pairs = pairs.join(a, F.col("p.x") == F.col("a.id")).join(b, F.col("p.y") == F.col("b.id")).filter(_plausible(t))
-        found = tables.keep(_verified(pairs.select(F.col("p.x").alias("a"), F.col("p.y").alias("b")), sets, percent), "found")
-        links = found if links is None else links.union(found)
-        return components(links, tables)
+        found = _verified(pairs.select(F.col("p.x").alias("a"), F.col("p.y").alias("b")), sets, percent)
+        of_a, of_b = (comps.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+        found = found.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+        joined = components(found.filter("a <> b").distinct(), tables)
+        if joined.isEmpty():
+            return comps
+        top = joined.select(F.col("id").alias("was"), F.col("comp").alias("top"))
+        new = top.join(comps, F.col("was") == F.col("comp"), "left_anti").select(F.col("was").alias("id"), F.col("top").alias("comp"))
+        return tables.keep(comps.join(top, F.col("comp") == F.col("was"), "left").select("id", F.coalesce("top", "comp").alias("comp")).union(new), "comps")
 
     def still_open(of: DataFrame, comps: DataFrame) -> DataFrame:
         """Members of buckets in more than one component, with the component most members are in."""
@@ -218,8 +262,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     fits = F.least("o.n", "w.n") >= F.greatest("o.n", "w.n") * (t - 1e-9)
     sizes = sketches.select("id", "n")
-    comps = linked(members.filter("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y")))
-    comps = linked(crossing(still_open(members.filter(f"m <= {SMALL}"), comps).join(sizes, "id"), fits))
+    comps = linked(members.filter("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y")), comps)
+    comps = linked(crossing(still_open(members.filter(f"m <= {SMALL}"), comps).join(sizes, "id"), fits), comps)
     large = members.filter(f"m > {SMALL}")
     now = tables.keep(still_open(large, comps), "open")
     if not now.isEmpty():
@@ -231,7 +275,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         traits = traits.filter(F.col("n") - F.col("own") >= F.col("n") * (t - 1e-9))
         hubs = tables.keep(now.join(traits, "id").groupBy("key").agg(F.min_by("id", F.struct(F.col("own") / F.col("n"), "id")).alias("centre")), "hubs")
         of_hub = tables.keep(now.join(hubs, "key").join(traits, "id").filter("id <> centre").select("centre", "id", "n").distinct(), "of_hub")
-        comps = linked(of_hub.select(F.col("centre").alias("x"), F.col("id").alias("y")))
+        comps = linked(of_hub.select(F.col("centre").alias("x"), F.col("id").alias("y")), comps)
         # What each has beside its centre. Two texts share at most what both share with the centre, and what they share beside it.
         own_set, centre_set = sets.withColumnRenamed("set", "own_set"), sets.select(F.col("id").alias("centre"), F.col("set").alias("centre_set"))
         beside = of_hub.join(own_set, "id").join(centre_set, "centre").select("centre", "id", "n", F.array_except("own_set", "centre_set").alias("beside"))
@@ -239,30 +283,42 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = tables.keep(left.join(beside, ["centre", "id"]), "beside")
         o, w = left.filter("out").alias("o"), left.alias("w")
         differ = (F.col("o.comp") != F.col("w.comp")) & (~F.col("w.out") | (F.col("o.id") < F.col("w.id"))) & fits
-        need = (F.col("o.n") + F.col("w.n")) * (t - 1e-9)
-        room = F.least(F.col("o.n") - F.size("o.beside"), F.col("w.n") - F.size("w.beside")) * (1 + t) >= need
+        need = (F.col("o.n") + F.col("w.n")) * (t - 1e-9) / (1 + t)
         ends = [F.col("o.id").alias("x"), F.col("w.id").alias("y")]
+        room = F.least(F.col("o.n") - F.size("o.beside"), F.col("w.n") - F.size("w.beside")) >= need
         with_room = o.join(w, (F.col("o.centre") == F.col("w.centre")) & differ & room).select(*ends)
-        grams = left.select("centre", "id", "comp", "out", "n", F.explode("beside").alias("g"))
-        # Shingles that the very same texts have (those of one edit, say) bring the same pairs: one of them does.
-        holders = grams.groupBy("centre", "g").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2")).filter("m > 1")
-        grams = grams.join(holders.groupBy("centre", "m", "h1", "h2").agg(F.min("g").alias("g")).select("centre", "g"), ["centre", "g"])
+        # The rest must share some of what they have beside the centre: `least` at least, whatever the partner's size. So
+        # one of the rarest that leave out least - 1 of them is shared, in one order for all around a centre.
+        least = F.greatest(F.lit(1), F.ceil(F.col("n") * (t - 1e-9) - (F.col("n") - F.size("beside")))).cast("int")
+        grams = left.withColumn("n_beside", F.size("beside")).withColumn("rarest", F.col("n_beside") - least + 1).filter("rarest > 0")
+        grams = grams.select("centre", "id", "comp", "out", "n", "n_beside", "rarest", F.explode("beside").alias("g"))
+        held_by = grams.groupBy("centre", "g").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
+        order = W.partitionBy("centre", "id").orderBy("m", "h1", "h2", "g")
+        # Shingles that the very same texts have (those of one edit, say) bring the same pairs: the first of them does.
+        same = W.partitionBy("centre", "id", "m", "h1", "h2").orderBy("g")
+        grams = grams.join(held_by, ["centre", "g"]).withColumn("at", F.row_number().over(order)).filter("at <= rarest AND m > 1")
+        grams = tables.keep(grams.withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("centre", "id", "comp", "out", "n", "n_beside", "g"), "rarest")
         o, w = grams.filter("out").alias("o"), grams.alias("w")
-        comps = linked(with_room.union(o.join(w, (F.col("o.centre") == F.col("w.centre")) & (F.col("o.g") == F.col("w.g")) & differ).select(*ends)))
+        shared_most = F.least(F.col("o.n") - F.col("o.n_beside"), F.col("w.n") - F.col("w.n_beside")) + F.least("o.n_beside", "w.n_beside")
+        beside_it = o.join(w, (F.col("o.centre") == F.col("w.centre")) & (F.col("o.g") == F.col("w.g")) & differ & (shared_most >= need)).select(*ends)
+        comps = linked(with_room.union(beside_it), comps)
     for done in (members, sets, sketches):
         tables.drop(done)
-    comp_of = folded.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(*[F.col(k).alias(f"k_{k}") for k in keys], F.coalesce("comp", "rep").alias("comp"))
+    # A component is named by the smallest id of its rows.
+    named = folded.join(comps, "id").groupBy("comp").agg(F.min("rep").alias("low"))
+    comp_of = folded.join(comps, "id", "left").join(named, "comp", "left").select(*[F.col(k).alias(f"k_{k}") for k in keys], F.coalesce("low", "rep").alias("low"))
     return sketched.join(comp_of, [sketched[k] == F.col(f"k_{k}") for k in keys], "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"),
-        (F.col("id").isNull() | (F.coalesce("comp", "id") == F.col("id"))).alias("kept"),
+        F.when(F.col("id").isNotNull(), F.coalesce("low", "id")).alias("component_id"),
+        (F.col("id").isNull() | (F.coalesce("low", "id") == F.col("id"))).alias("kept"),
     )
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component holds a smaller doc_id; repeated rows of a kept id stay."""
-    gone = sized(Tables(docs.sparkSession), link_components(docs, percent=percent).filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    """docs without the rows whose component holds a smaller doc_id; repeated rows of a kept id stay, and so do all rows of an id of which one is kept."""
+    judged = link_components(docs, percent=percent).groupBy("doc_id").agg(F.max("kept").alias("any_kept"))
+    gone = sized(Tables(docs.sparkSession), judged.filter("NOT any_kept").select(F.col("doc_id").alias("gone_id")), "gone")
     return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*docs.columns)
 
 
