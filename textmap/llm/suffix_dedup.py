@@ -14,18 +14,21 @@ the passage follow it.
    suffix are matches of 50 words. This compares every suffix with all others.
 3. The suffixes of other runs are sorted by their words (27 as one hash, then 23
    more as 32-bit codes), with the words before them, read backwards, as the next
-   key. Each meets its four predecessors in that order, so all of its run. The
+   key. Each meets its four predecessors in that order, so all of its run, whatever
+   the partitions and batches: the last rows of a batch are carried on, and rows at
+   the edges of a range meet those of the next range in a second, small pass. The
    common prefix extends the match right, the common words before it extend it
-   left; matches of at least 50 words in all count. Rows at the edges of a range
-   meet those of the next range in a second, small pass. Longer passages are the
+   left; matches of at least 50 words in all count. Longer passages are the
    union of the matches of their suffixes.
 4. The copy with the smallest (document, position) stays. Of any other copy those
    words go that a run has in a smaller place, and those around it that a smaller
    copy was seen to have too: whatever goes is left in some smaller place.
 
 Defined cases: null or short texts have no passages; rows with a null id take no
-part; repeated rows of one id don't count as copies of each other; passages
-repeated inside one document count. Extra columns are ignored (find) or kept (cut).
+part; repeated rows of one id don't count as copies of each other; of one id's
+different texts that with the largest hash takes part, and rows with the others have
+no passages and aren't cut; passages repeated inside one document count; an empty
+table has no passages. Extra columns are ignored (find) or kept (cut).
 """
 
 from __future__ import annotations
@@ -218,18 +221,13 @@ class Matches:
                 own[at] = np.maximum(own[at], np.where(keep, reach, -1))
 
 
-def _matches(rows: pa.Table, fresh: int, state: dict) -> Matches:
-    """Each suffix with the LOOK_BACK before it, and with the first copy in its run so far (state carries that on).
-
-    Along sorted neighbours common lengths only shrink, so the smallest on the way to the first
-    copy is a length that both have. The first `fresh` rows were seen before.
-    """
+def _matches(rows: pa.Table) -> Matches:
+    """Each suffix with the LOOK_BACK before it; its run has no more, so with all that share its run."""
     n = rows.num_rows
     right, left = _matrix(rows["right"].to_pylist()), _matrix(rows["left"].to_pylist())
     run, id_, pos = (rows[c].to_numpy() for c in ("run", "id", "pos"))
     out = Matches(n)
     part = lambda m, s: (m[0][s], m[1][s])
-    near_left, near_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for d in range(1, min(LOOK_BACK, n - 1) + 1):
         before, here = slice(0, n - d), slice(d, n)
         r, l = _common(part(right, before), part(right, here)), _common(part(left, before), part(left, here))
@@ -238,22 +236,6 @@ def _matches(rows: pa.Table, fresh: int, state: dict) -> Matches:
         first = (id_[before] < id_[here]) | ((id_[before] == id_[here]) & (pos[before] < pos[here]))
         out.add(before, ok, l, r, ~first)
         out.add(here, ok, l, r, first)
-        if d == 1:
-            near_left[1:], near_right[1:] = l, r
-    keys = list(zip(run.tolist(), id_.tolist(), pos.tolist()))
-    for order, held in ((range(max(fresh, 1), n), state), (range(n - 2, -1, -1), {})):
-        step = 0 if order.step > 0 else 1
-        if "top" not in held and n:
-            k = 0 if order.step > 0 else n - 1
-            held.update(top=keys[k], left=SIDE, right=SIDE)
-        for k in order:
-            own, top = keys[k], held["top"]
-            if own[0] != top[0] or own < top:
-                held.update(top=own, left=SIDE, right=SIDE)
-                continue
-            held["left"], held["right"] = min(held["left"], int(near_left[k + step])), min(held["right"], int(near_right[k + step]))
-            if own > top and held["left"] + RUN + held["right"] >= MIN_WORDS:
-                out.cut_left[k], out.cut_right[k] = max(out.cut_left[k], held["left"]), max(out.cut_right[k], held["right"])
     return out
 
 
@@ -265,8 +247,8 @@ _SPAN_KINDS = ", start int, end int, cut_start int, cut_end int"
 _NAMES = [*_KEYS, "start", "end", "cut_start", "cut_end"]
 
 
-def _compared(rows: pa.Table, fresh: int, state: dict) -> pa.RecordBatch:
-    m = _matches(rows, fresh, state)
+def _compared(rows: pa.Table) -> pa.RecordBatch:
+    m = _matches(rows)
     hit = np.flatnonzero(m.any_left >= 0)
     found = rows.take(pa.array(hit))
     pos = found["pos"].to_numpy().astype(np.int64)
@@ -283,7 +265,7 @@ def _edge(rows: pa.Table):
 
 def _neighbours(stream):
     """Matches of a sorted range; its first and last rows come too, without a span, for the pass over edges."""
-    held, first, state, seen = None, None, {}, 0
+    held, first, seen = None, None, 0
     for batch in stream:
         new = pa.Table.from_batches([batch])
         if not new.num_rows:
@@ -292,19 +274,19 @@ def _neighbours(stream):
         rows = new if held is None else pa.concat_tables([held, new]).combine_chunks()
         if first is None or first.num_rows < LOOK_BACK:
             first = rows.slice(0, LOOK_BACK)
-        yield _compared(rows, 0 if held is None else held.num_rows, state)
+        yield _compared(rows)
         held = rows.slice(max(0, rows.num_rows - LOOK_BACK))
     if held is not None:
         yield from _edge(pa.concat_tables([first, held.slice(max(0, first.num_rows + held.num_rows - seen))]))
 
 
 def _neighbours_of_edges(stream):
-    held, state = None, {}
+    held = None
     for batch in stream:
         new = pa.Table.from_batches([batch])
         rows = new if held is None else pa.concat_tables([held, new]).combine_chunks()
         if rows.num_rows:
-            yield _compared(rows, 0 if held is None else held.num_rows, state)
+            yield _compared(rows)
             held = rows.slice(max(0, rows.num_rows - LOOK_BACK))
 
 
@@ -355,26 +337,38 @@ def _widest():
     return [f(c).alias(c) for f, c in zip((F.min, F.max, F.min, F.max), _NAMES[-4:])]
 
 
+def _one_text_per_id(docs: DataFrame, tables: Tables, id_col: str, text_col: str) -> DataFrame:
+    """docs with `sa_taken`: whether a row's text is the one that stands for its id (of different ones that with the largest hash)."""
+    hashes = docs.select(F.col(f"`{id_col}`").cast("long").alias("sa_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("sa_hash"))
+    several = hashes.groupBy("sa_id").agg(F.min("sa_hash").alias("low"), F.max("sa_hash").alias("sa_hash")).filter("low <> sa_hash").select("sa_id", "sa_hash")
+    joined = docs.join(sized(tables, several, "several"), F.col(f"`{id_col}`").cast("long") == F.col("sa_id"), "left")
+    taken = F.col("sa_hash").isNull() | (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("sa_hash"))
+    return joined.withColumn("sa_taken", taken).drop("sa_id", "sa_hash")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start_word, end_word, first_doc_id, repeat: passages of 50 words or more that occur more than once.
 
     repeat is false for the copy that stays and true for the others.
     """
     tables = Tables(docs.sparkSession)
-    rows = with_columns_renamed_apart(docs, {id_col: "id", text_col: "text"}).select(F.col("id").cast("long"), F.col("text").cast("string")).filter("id IS NOT NULL")
-    suffixes = rows.mapInArrow(_suffixes, "run long, id long, pos int")
-    runs = suffixes.groupBy("run").agg(F.count("*").alias("m"), F.min("id").alias("first_id")).filter("m > 1").select("run", "first_id", (F.col("m") > LOOK_BACK + 1).alias("many"))
-    alive = tables.keep(suffixes.join(runs, "run"), "suffixes")
-    # The first copy's position, where the first document holds the run more than once.
-    first = alive.filter("id = first_id").groupBy("run").agg(F.min("pos").alias("first_pos"))
-    per_doc = alive.join(first, "run").groupBy("id").agg(F.collect_set(F.struct("run", "pos", "first_id", "first_pos", "many")).alias("found"))
+    taken = _one_text_per_id(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), tables, "id", "text").filter("sa_taken AND id IS NOT NULL")
+    rows = taken.select(F.col("id").cast("long"), F.col("text").cast("string"))
+    suffixes = tables.keep(rows.mapInArrow(_suffixes, "run long, id long, pos int"), "suffixes")
+    # A run's suffixes, and its first copy as one number: both are sums of parts.
+    runs = suffixes.groupBy("run").agg(F.count("*").alias("m"), F.min(_place()).alias("first")).filter("m > 1")
+    at = F.pmod("first", F.lit(1 << 31).cast("decimal(10,0)"))
+    first_id = ((F.col("first") - at) / F.lit(1 << 31).cast("decimal(10,0)")).cast("long")
+    runs = sized(tables, runs.select("run", first_id.alias("first_id"), at.cast("int").alias("first_pos"), (F.col("m") > LOOK_BACK + 1).alias("many")), "runs")
+    per_doc = suffixes.join(runs, "run").groupBy("id").agg(F.collect_set(F.struct("run", "pos", "first_id", "first_pos", "many")).alias("found"))
     keyed = tables.keep(rows.dropDuplicates(["id"]).join(per_doc, "id").select("id", "text", "found").mapInArrow(_contexts, _KINDS + ", many boolean"), "contexts")
     order = ["run", "right", "left", "id", "pos"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = ["id", "pos", "first_id", "first_pos", *_NAMES[-4:]]
     of_windows = tables.keep(_matches_of_windows(keyed.filter("many"), tables).groupBy(*spans[:4]).agg(*_widest()), "windows")
     compared = tables.keep(keyed.filter("NOT many").select(*_KEYS).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _KINDS + _SPAN_KINDS), "compared")
-    tables.drop(keyed)
+    for done in (keyed, suffixes):
+        tables.drop(done)
     edges = compared.filter("start IS NULL").select(*_KEYS)
     edges = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours_of_edges, _KINDS + _SPAN_KINDS)
     hits = compared.filter("start IS NOT NULL").union(edges).select(*spans).union(of_windows.select(*spans)).groupBy(*spans[:4]).agg(*_widest())
@@ -401,8 +395,9 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs with every repeat of a passage cut out of text but for its first copy; n_chars follows. No row goes."""
+    tables = Tables(docs.sparkSession)
     spans = repeated_passages(docs).filter("repeat").groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("cut_spans"))
-    spans = sized(Tables(docs.sparkSession), spans, "cuts", rows=100_000)
+    spans = sized(tables, spans, "cuts", rows=100_000)
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -410,7 +405,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([t if s is None or t is None else cut_words(t, [(x["start_word"], x["end_word"]) for x in s]) for t, s in zip(text, spans)], dtype=object)
 
-    joined = docs.join(spans, F.col("doc_id") == F.col("cut_id"), "left")
+    joined = _one_text_per_id(docs, tables, "doc_id", "text").join(spans, (F.col("doc_id") == F.col("cut_id")) & F.col("sa_taken"), "left")
     text = F.when(F.col("cut_spans").isNull(), F.col("text")).otherwise(cut("text", "cut_spans"))
     joined = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
