@@ -5,16 +5,18 @@ which five rules take a rate each: symbols, repeated words, repeated lines,
 exclamation marks and words made of capitals. A rule rejects a text whose rate is
 over the rule's cutoff for the text's stratum (its language).
 
-Cutoffs come from labelled holdouts. For each stratum, rule and cutoff of a
-fixed grid, k of the n labelled good documents would be rejected. The cutoff is
-safe if the exact binomial tail P(X <= k | n, RISK) is at most the error
-allowed: the Clopper-Pearson upper bound of the false rejection rate is then
-at most RISK. RISK is each rule's share of the allowed false rejection rate, and the
-error is CONFIDENCE's complement shared by all strata, rules and cutoffs that are
-tried (Bonferroni), so with that confidence no stratum loses more good documents
-than allowed. Of the safe cutoffs that which rejects most labelled bad documents is
-taken, of equal ones the mildest; no safe cutoff: the rule rejects nothing there.
-Strata with few labels, and unlabelled strata, thus keep their texts.
+Cutoffs come from labelled holdouts. A fixed ladder holds, from the mildest step to the
+strictest, one cutoff per rule. For each stratum and step, k of the n labelled good
+documents would be rejected by any of the rules. The step is safe if the exact
+binomial tail P(X <= k | n, MAX_FALSE_REJECTION) is at most the error allowed: the
+Clopper-Pearson upper bound of the false rejection rate of all rules together is
+then at most that rate. Steps are tested in the ladder's order up to the first that isn't safe
+(a fixed sequence, which needs no further correction), strata share the error
+(1 - CONFIDENCE) evenly (Bonferroni), so with that confidence no stratum loses more
+good documents than allowed. Of the steps before that one the one which rejects most
+labelled bad documents is taken, of equal ones the mildest; if the first step isn't safe,
+or no bad document is caught, nothing is rejected there. Strata with few labels (fewer than
+about 90 good documents for four strata), and unlabelled strata, thus keep their texts.
 
 Defined cases: a null text has no words and fails the base rule; a null
 language is the stratum ''; a null id keeps its row; labels of one document that
@@ -35,7 +37,7 @@ from textmap.llm.shared import _SPACE, Tables, batches, ngrams, sized, with_colu
 #: Largest share of a stratum's good documents that all rules together may reject, and the confidence.
 MAX_FALSE_REJECTION, CONFIDENCE = 0.05, 0.95
 RULES = ("symbols", "repeats", "dup_lines", "shouts", "capitals")
-#: Cutoffs tried for each rule, as rates; equally many.
+#: The ladder: each rule's cutoffs as rates, from the strictest step to the mildest.
 GRIDS = {
     "symbols": (0.02, 0.05, 0.1, 0.15, 0.2, 0.3),
     "repeats": (0.05, 0.1, 0.15, 0.2, 0.25, 0.3),
@@ -43,7 +45,7 @@ GRIDS = {
     "shouts": (0.1, 0.2, 0.3, 0.5, 0.75, 1.0),
     "capitals": (0.2, 0.3, 0.4, 0.5, 0.6, 0.75),
 }
-TRIED = len(GRIDS["symbols"])
+STEPS = len(GRIDS["symbols"])
 #: More strata with labels than this are joined by a shuffle; fewer are sent to all tasks (about 100 bytes each).
 BROADCAST_STRATA = 10_000
 
@@ -117,32 +119,47 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
 
 
 def _tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) of a binomial variable, exactly summed; for the few rows of the table of cutoffs."""
+    """P(X <= k) of a binomial variable, exactly summed; for the few rows of the table of steps."""
     if k >= n:
         return 1.0
     log = math.lgamma(n + 1)
     return min(1.0, math.fsum(math.exp(log - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1)))
 
 
-def cutoffs(measures: DataFrame, labels: DataFrame) -> DataFrame:
-    """stratum, rule, cutoff: the chosen cutoffs. labels: doc_id, quality (1 good, 0 bad)."""
+def _tails(frames):
+    for f in frames:
+        yield f.assign(tail=[_tail(k, n, MAX_FALSE_REJECTION) for k, n in zip(f["k"], f["n"])])
+
+
+def _broken(rule: str, step) -> F.Column:
+    """Whether a rule rejects at a step (null: at none); rates are those of the struct q."""
+    return F.coalesce(F.col(f"q.{rule}") > F.get(F.array(*map(F.lit, GRIDS[rule])), step), F.lit(False))
+
+
+def tested(measures: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, step, n, k, caught, tail: for each step the good and bad labelled documents that it rejects. labels: doc_id, quality (1 good, 0 bad)."""
     known = with_columns_renamed_apart(labels, {"doc_id": "label_id", "quality": "quality"}).filter("label_id IS NOT NULL AND quality IS NOT NULL")
     known = known.groupBy(F.col("label_id").cast("long").alias("label_id")).agg(F.min("quality").alias("good"))
     # What the base rule rejects is gone before the rules: it isn't theirs to lose.
-    holdout = measures.select("q.*").filter("NOT base_failed").select("id", "stratum", *RULES).join(known, F.col("id") == F.col("label_id"))
-    grids = [F.array(*map(F.lit, GRIDS[r])).alias("grid") for r in RULES]
-    rule = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("rate"), g) for r, g in zip(RULES, grids)])).alias("r")
+    holdout = measures.select("q").filter("NOT q.base_failed").join(known, F.col("q.id") == F.col("label_id"))
+    rejected = [F.greatest(*[_broken(r, F.lit(i)) for r in RULES]) for i in range(STEPS)]
     counts = []
-    for i in range(TRIED):
-        over = F.col("rate") > F.col("grid")[i]
-        counts += [F.sum((over & (F.col("good") == 1)).cast("int")).alias(f"good_{i}"), F.sum((over & (F.col("good") == 0)).cast("int")).alias(f"bad_{i}")]
-    table = holdout.select("stratum", "good", rule).select("stratum", "good", "r.*").groupBy("stratum", "rule", "grid").agg(F.sum((F.col("good") == 1).cast("int")).alias("n"), *counts)
-    tried = F.explode(F.array(*[F.struct(F.col("grid")[i].alias("cutoff"), F.col(f"good_{i}").alias("k"), F.col(f"bad_{i}").alias("caught")) for i in range(TRIED)])).alias("t")
-    table = table.select("stratum", "rule", "n", tried).select("stratum", "rule", "n", "t.*")
-    table = Tables(measures.sparkSession).keep(table, "tried")
-    error = (1 - CONFIDENCE) / (len(RULES) * TRIED * max(1, table.select("stratum").distinct().count()))
-    safe = table.filter((F.col("n") > 0) & (F.col("caught") > 0)).filter(F.udf(_tail, "double")("k", "n", F.lit(MAX_FALSE_REJECTION / len(RULES))) <= error)
-    return safe.groupBy("stratum", "rule").agg(F.max(F.struct("caught", "cutoff"))["cutoff"].alias("cutoff"))
+    for i, x in enumerate(rejected):
+        counts += [F.sum((x & (F.col("good") == 1)).cast("int")).alias(f"good_{i}"), F.sum((x & (F.col("good") == 0)).cast("int")).alias(f"bad_{i}")]
+    table = holdout.groupBy(F.col("q.stratum").alias("stratum")).agg(F.sum((F.col("good") == 1).cast("int")).alias("n"), *counts)
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"good_{i}").alias("k"), F.col(f"bad_{i}").alias("caught")) for i in range(STEPS)]))
+    rows = table.select("stratum", "n", steps.alias("s")).select("stratum", "n", "s.*")
+    return rows.mapInPandas(_tails, "stratum string, n long, step int, k long, caught long, tail double")
+
+
+def cutoffs(measures: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, step: the chosen step of the ladder."""
+    table = Tables(measures.sparkSession).keep(tested(measures, labels), "tested")
+    error = (1 - CONFIDENCE) / max(1, table.select("stratum").distinct().count())
+    # The steps are milder the higher they are: those above the highest that isn't safe.
+    unsafe = F.coalesce(F.max(F.when((F.col("n") == 0) | (F.col("tail") > error), F.col("step"))), F.lit(-1)).alias("unsafe")
+    safe = table.join(table.groupBy("stratum").agg(unsafe), "stratum").filter("step > unsafe AND caught > 0")
+    return safe.groupBy("stratum").agg(F.max(F.struct("caught", "step"))["step"].alias("step"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -151,7 +168,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     tables = Tables(docs.sparkSession)
     ids = sized(tables, labels.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("label_id")).distinct(), "labelled")
     labelled = docs.join(ids, F.col("doc_id") == F.col("label_id"), "left_semi")
-    chosen = cutoffs(measured(labelled), labels).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("q_cut")).withColumnRenamed("stratum", "q_stratum")
+    chosen = cutoffs(measured(labelled), labels).select(F.col("stratum").alias("q_stratum"), F.col("step").alias("q_step"))
     chosen = tables.keep(chosen, "cutoffs")
     measures, on = measured(docs), F.col("q.stratum") == F.col("q_stratum")
     if chosen.count() <= BROADCAST_STRATA:
@@ -159,7 +176,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     else:  # the hot strata are spread over a salt
         chosen = chosen.withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
         on &= F.pmod(F.hash("q.id"), F.lit(64)) == F.col("q_salt")
-    broken = [F.when(F.col(f"q.{r}") > F.col("q_cut")[r], F.lit(r)) for r in RULES]
+    broken = [F.when(_broken(r, F.col("q_step")), F.lit(r)) for r in RULES]
     out = measures.join(chosen, on, "left").withColumn("q_rejected_by", F.coalesce(F.concat_ws(",", *broken), F.lit("")))
     return out.withColumn("q_kept", ~F.col("q.base_failed") & (F.col("q_rejected_by") == "")).select(*docs.columns, "q", "q_rejected_by", "q_kept")
 
@@ -192,16 +209,16 @@ counts AS (
     (len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w)) AS base_failed
   FROM words LEFT JOIN repeated USING (doc_id)
 ), rates AS ({_LONG}),
+grid(rule, step, cutoff) AS (VALUES {', '.join(f"('{r}', {i}, {g}::DOUBLE)" for r in RULES for i, g in enumerate(GRIDS[r]))}),
 known AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
-tried AS (
-  SELECT stratum, rule, cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND rate > cutoff) AS k, count(*) FILTER (good = 0 AND rate > cutoff) AS caught
-  FROM rates JOIN known USING (doc_id) JOIN (VALUES {', '.join(f"('{r}', {g}::DOUBLE)" for r in RULES for g in GRIDS[r])}) AS g(rule, cutoff) USING (rule) GROUP BY ALL
-), tails AS (
-  SELECT t.*, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({MAX_FALSE_REJECTION / len(RULES)}) + (n - i) * ln({1 - MAX_FALSE_REJECTION / len(RULES)}))) FROM range(0, 10000) AS r(i) WHERE i <= k) AS tail FROM tried t WHERE n > 0
-), chosen AS (
-  SELECT stratum, rule, max_by(cutoff, caught + cutoff) AS cutoff FROM tails WHERE caught > 0 AND k < n AND tail <= {1 - CONFIDENCE} / ({len(RULES) * TRIED} * (SELECT count(DISTINCT stratum) FROM tried)) GROUP BY 1, 2
-), broken AS (
-  SELECT DISTINCT doc_id, rule FROM (SELECT doc_id, stratum, rule, rate FROM ({_LONG.replace(' WHERE NOT base_failed', '')})) r JOIN chosen USING (stratum, rule) WHERE rate > cutoff
+held AS (SELECT stratum, doc_id, step, good, bool_or(rate > cutoff) AS rejected FROM rates JOIN known USING (doc_id) JOIN grid USING (rule) GROUP BY ALL),
+tried AS (SELECT stratum, step, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND rejected) AS k, count(*) FILTER (good = 0 AND rejected) AS caught FROM held GROUP BY ALL),
+tails AS (
+  SELECT t.*, CASE WHEN k >= n THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({MAX_FALSE_REJECTION}) + (n - i) * ln({1 - MAX_FALSE_REJECTION}))) FROM range(0, 10000) AS r(i) WHERE i <= k) END AS tail FROM tried t
+), unsafe AS (SELECT stratum, max(step) AS step FROM tails WHERE tail > {1 - CONFIDENCE} / (SELECT count(DISTINCT stratum) FROM tried) GROUP BY 1),
+chosen AS (SELECT t.stratum, max_by(t.step, 100 * caught + t.step) AS step FROM tails t LEFT JOIN unsafe u ON u.stratum = t.stratum WHERE caught > 0 AND t.step > coalesce(u.step, -1) GROUP BY 1),
+broken AS (
+  SELECT DISTINCT doc_id, rule FROM ({_LONG.replace(' WHERE NOT base_failed', '')}) r JOIN chosen USING (stratum) JOIN grid USING (rule, step) WHERE rate > cutoff
 ), rejected AS (SELECT doc_id, string_agg(rule, ',' ORDER BY list_position({list(RULES)!r}, rule)) AS rules FROM broken GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules IS NULL AS kept, coalesce(rules, '') AS rejected_by
 FROM counts LEFT JOIN rejected USING (doc_id)
