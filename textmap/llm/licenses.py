@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,32 +174,24 @@ def detections(text: bytes) -> list[tuple[int, int, int, str, float]]:
     for priority, label, word, regex, confidence in SIGNATURES:
         if word in text:
             found += [(m.start(), m.end(), priority, label, confidence) for m in regex.finditer(text)]
+    starts = sorted({d[0] for d in found})
+    rank = {x: k for k, x in enumerate(starts, 1)}
+    reach = [0] * (len(starts) + 1)  # a tree of the largest kept end among starts up to a rank
     kept: list[tuple[int, int, int, str, float]] = []
-    reach: list[tuple[int, int]] = []  # kept intervals, none inside another
     for d in sorted(found, key=lambda d: (d[2], d[0] - d[1], d[0], d[3])):
-        if not _inside(reach, d[0], d[1]):
+        k, end = rank[d[0]], 0
+        while k:
+            end = max(end, reach[k])
+            k &= k - 1
+        if end < d[1]:
             kept.append(d)
-            _add(reach, d[0], d[1])
+            k = rank[d[0]]
+            while k <= len(starts):
+                reach[k] = max(reach[k], d[1])
+                k += k & -k
     return sorted(kept)
 
 
-def _inside(reach: list[tuple[int, int]], a: int, b: int) -> bool:
-    """Whether a kept interval holds [a, b). reach is sorted by both ends."""
-    import bisect
-
-    k = bisect.bisect_right(reach, (a, float("inf"))) - 1
-    return k >= 0 and reach[k][1] >= b
-
-
-def _add(reach: list[tuple[int, int]], a: int, b: int) -> None:
-    import bisect
-
-    k = bisect.bisect_left(reach, (a, b))
-    while k < len(reach) and reach[k][1] <= b:
-        reach.pop(k)
-    reach.insert(k, (a, b))
-
-
 def scanned(text: bytes) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, detections of one text."""
     words = text.translate(_KEEP).split()
@@ -215,7 +208,8 @@ def scanned(text: bytes) -> tuple:
         if at:
             base.add(label)
     found = detections(clean)
-    word_at = lambda x: clean.count(b" ", 0, x)
+    gaps = np.flatnonzero(np.frombuffer(clean, np.uint8) == 32)
+    word_at = lambda x: int(np.searchsorted(gaps, x))
     score = max([d[4] for d in found] + [0.9] * bool(base), default=0.0)
     labels = sorted(base | {d[3] for d in found})
     spans = [(d[3], word_at(d[0]), word_at(d[1]) + 1, d[4]) for d in found]

@@ -2,8 +2,9 @@
 
 A rule is a host and a path, like `example.org/es/`; it fits its host and all
 subdomains where the URL's path starts with the rule's. Each distinct (host,
-path) is expanded to its expressions: every suffix of the host's labels with
-every prefix of the path whose length some rule has. Expressions meet the rules
+path) is expanded to its expressions: every suffix of the host with as many labels
+as some rule's host, with every prefix of the path whose length some rule's path
+has; other expressions can meet no rule. Expressions meet the rules
 in an equi-join on the first 32 bits of their SHA-256, the full digests confirm
 the match, and of the rules that fit the longest wins (then the one with the
 longer host; block before allow for one rule given twice).
@@ -52,13 +53,16 @@ def judged(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         F.length("host").alias("rule_host"),
         F.sha2(F.concat("host", F.lit("\n"), "path"), 256).alias("rule_digest"),
     ).withColumn("key", F.substring("rule_digest", 1, 8))
-    # As many numbers as the longest path of a rule has characters, at most.
-    lengths = F.array(*[F.lit(r[0]) for r in rules.select(F.length("path")).distinct().orderBy(F.length("path")).collect()])
-    pairs = rows.filter("host <> ''").select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # As many numbers as the longest path of a rule has characters, and its longest host labels, at most.
+    sizes_of = lambda c: F.array(*[F.lit(r[0]) for r in rules.select(c.alias("n")).distinct().orderBy("n").collect()])
+    lengths, depths = sizes_of(F.length("path")), sizes_of(F.size(F.split("host", r"\.")))
+    # Rows without a host fit no rule: they stay out of the joins.
+    hosted = rows.filter("host <> ''")
+    pairs = hosted.select("host", "path").distinct()
+    n_labels = F.octet_length("host") - F.octet_length(F.replace(F.col("host"), F.lit("."), F.lit(""))) + 1
+    suffixes = F.transform(F.filter(depths, lambda n: n <= n_labels), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    expressions = pairs.select("host", "path", F.explode(F.array_distinct(suffixes)).alias("suffix"), prefixes.alias("prefixes"))
+    expressions = pairs.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
     expressions = expressions.select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
     expressions = expressions.select("host", "path", F.sha2(F.concat("suffix", F.lit("\n"), "prefix"), 256).alias("digest")).withColumn("key", F.substring("digest", 1, 8))
     if rules.count() <= BROADCAST_RULES:
@@ -66,8 +70,9 @@ def judged(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     hits = expressions.join(own, "key").filter(F.col("digest") == F.col("rule_digest"))
     rank = F.struct(F.length("rule"), "rule_host", (F.col("rule_verdict") == "block").cast("int"), "rule", "rule_verdict")
     best = hits.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max(rank).alias("best"))
-    found = rows.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
-    return found.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(DEFAULT)).alias("verdict"))
+    found = hosted.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select("page_id", "host", "path", "best.rule", "best.rule_verdict")
+    found = found.union(rows.filter("host = ''").select("page_id", "host", "path", F.lit(None).cast("string"), F.lit(None).cast("string")))
+    return found.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(DEFAULT)).alias("verdict"))
 
 
 _VALUES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)

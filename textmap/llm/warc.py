@@ -24,12 +24,13 @@ import hashlib
 import re
 import uuid
 import zlib
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import Tables, with_columns_renamed_apart
+from textmap.llm.shared import Tables, sized, with_columns_renamed_apart
 
 MIN_SHARED = 1000
 MAX_GAP, MAX_READ = 64 << 10, 4 << 20
@@ -50,7 +51,7 @@ def _urn(page_id) -> str:
 
 
 def _uri(url: str) -> str:
-    return "".join(c if 32 < ord(c) != 127 else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
+    return "".join(c if 32 < ord(c) != 127 and c != "%" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -83,7 +84,7 @@ def parse(data: bytes) -> dict:
         "type": fields["warc-type"],
         "page_id": number(ids["warc-record-id"]),
         "refers_to": number(ids["warc-refers-to"]),
-        "url": fields.get("warc-target-uri"),
+        "url": unquote(fields["warc-target-uri"]) if "warc-target-uri" in fields else None,
         "digest": base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex(),
         "length": int(re.search(rb"(?i)content-length: *(\d+)", http)[1]),
         "payload": payload,
@@ -114,20 +115,22 @@ def _writer(folder: str):
     return run
 
 
-def roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def roles(pages: DataFrame, tables: Tables, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """page_id, url, html (bytes), digest, refers_to (null: a response)."""
     rows = with_columns_renamed_apart(pages, {id_col: "page_id", url_col: "url", payload_col: "html"})
     rows = rows.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
-    # Only payloads that occur twice are joined back: a few bytes each, and none for the rest.
-    most = rows.filter(F.octet_length("html") >= MIN_SHARED).groupBy("digest").agg(F.max("page_id").alias("most"), F.count("*").alias("m")).filter("m > 1 AND most IS NOT NULL")
-    refers = F.when(F.col("most").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("most")), F.col("most"))
-    return rows.join(most.drop("m"), "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    # A few bytes for each large payload that occurs twice. Other rows stay out of the join, and none is shuffled if those fit.
+    large = F.octet_length("html") >= MIN_SHARED
+    most = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("most"), F.count("*").alias("m")).filter("m > 1 AND most IS NOT NULL").select("digest", "most")
+    columns = ["page_id", "url", "html", "digest"]
+    joined = rows.filter(large).join(sized(tables, most, "shared"), "digest", "left").select(*columns, F.when(~F.col("page_id").eqNullSafe(F.col("most")), F.col("most")).alias("refers_to"))
+    return joined.union(rows.filter(~large).select(*columns, F.lit(None).cast("long")))
 
 
 def write_archives(pages: DataFrame, tables: Tables, **columns) -> DataFrame:
     """Writes the archives, then the index, which it returns."""
-    return tables.keep(roles(pages, **columns).mapInArrow(_writer(tables.path("archives")), INDEX), "index")
+    return tables.keep(roles(pages, tables, **columns).mapInArrow(_writer(tables.path("archives")), INDEX), "index")
 
 
 def coalesced(rows: list[tuple[str, int, int]]):
