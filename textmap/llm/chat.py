@@ -8,8 +8,9 @@ in the whole rendering (code points), and whether it counts for the loss (the
 assistant's turns alone, without their headers).
 
 Rows, not whole renderings, are the unit, so a conversation of any length stays
-spread over tasks: places are sums over blocks of BLOCK turns plus sums inside
-the block. `rendered` joins the rows of conversations of ordinary length to one
+spread over tasks: turns are sorted by ranges into a table, blocks are BLOCK rows of it
+in order (whatever the turns' numbers), and places are sums over a rendering's
+blocks plus sums inside the block. `rendered` joins the rows of conversations of ordinary length to one
 text and its mask.
 
 Defined cases: a null text is empty; a null role is the speaker ''; null turns come
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import with_columns_renamed_apart
+from textmap.llm.shared import Tables, sized, with_columns_renamed_apart
 
 BLOCK = 1024
 SYSTEM = "system"
@@ -36,20 +37,25 @@ def rotated(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     rows = rows.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("speaker").cast("string"), F.lit("")).alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
+    tables = Tables(turns.sparkSession)
+    # Rows in order, numbered by it: a conversation may begin in one range and end in another.
+    order = ["conv_id", "turn", "speaker", "text", "tie"]
+    rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+    rows = tables.keep(rows.withColumn("nth", F.monotonically_increasing_id()), "turns")
     # One row per conversation and participant.
     parties = rows.filter(F.col("speaker") != SYSTEM).groupBy("conv_id", F.col("speaker").alias("perspective")).agg(F.count("*").alias("n")).select(F.col("conv_id").alias("c"), "perspective")
-    own = rows.join(parties, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    own = rows.join(sized(tables, parties, "parties"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     own = own.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
     header = F.concat(F.lit("<|"), "role", F.when(F.col("name").isNotNull(), F.concat(F.lit(" name="), "name")).otherwise(""), F.lit("|>\n"))
     own = own.withColumn("header", header).withColumn("rendered", F.concat("header", "text", F.lit("<|end|>\n"))).withColumn("length", F.length("rendered").cast("long"))
-    own = own.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
+    own = own.withColumn("block", F.floor(F.col("nth") / BLOCK))
     key = ["conv_id", "perspective"]
     sums = own.groupBy(*key, "block").agg(F.sum("length").alias("block_length"))
     before = F.coalesce(F.sum("block_length").over(W.partitionBy(*key).orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"), before.alias("before"))
     placed = own.join(sums, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & (F.col("block") == F.col("b")))
-    inside = F.sum("length").over(W.partitionBy(*key, "block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text").rowsBetween(W.unboundedPreceding, 0))
+    inside = F.sum("length").over(W.partitionBy(*key, "block").orderBy("nth").rowsBetween(W.unboundedPreceding, 0))
     placed = placed.withColumn("end", F.col("before") + inside).withColumn("start", F.col("end") - F.col("length"))
     loss = F.col("role") == "assistant"
     return placed.select(
