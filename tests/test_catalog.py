@@ -6,13 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmap.operators import text
-from textmap.plans import catalog
+from textmap.plans import catalog, model_catalog  # noqa: F401  the second adds queries to the first's
 from textmap.streaming import encode
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: One of each kind; the others differ in a parameter.
-CHOSEN = ("token_positions", "oov_bracket", "phrase_spans", "highlight_xml", "synonym_mapped_counts", "tfidf_l2", "similar_documents_topk", "related_terms", "smoothed_maps", "reverse_studies_topk", "ridge_one_feature", "z_maps_of_rows", "events_windowed")
+CHOSEN = ("token_positions", "oov_bracket", "phrase_spans", "highlight_xml", "synonym_mapped_counts", "tfidf_l2", "similar_documents_topk", "related_terms", "smoothed_maps", "reverse_studies_topk", "ridge_one_feature", "z_maps_of_rows", "events_windowed", "phrase_longest_match", "selective_ridge", "encode_volumes", "explain_highlights", "saved_encoder", "vocabulary_files")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the generated tables")
 

@@ -1,4 +1,4 @@
-"""Queries that must take in every row, on small tables: their SQL without its id filters, or the operator's rule itself."""
+"""Queries that must take in every row, on small tables where each row shows."""
 
 import duckdb
 import numpy as np
@@ -35,22 +35,10 @@ def small(spark, tmp_path_factory):
     return folder, con
 
 
-def whole(name, *changes):
-    """The registered SQL with its filters replaced, as far as it has them."""
-    sql = catalog.ORACLES[name]
-    for old, new in changes:
-        sql = sql.replace(old, new)
-    assert "% 50" not in sql and "% 100" not in sql
-    return sql
-
-
-MAPS = (("FROM peaks WHERE study_id % 20 = 0", "FROM peaks"), ("WHERE study_id % 100 = 0", "WHERE study_id % 20 = 0"))
-
-
 @pytest.mark.parametrize("name", ["smoothed_maps", "reverse_terms_topk", "reverse_studies_topk", "corpus_alignment"])
 def test_maps_of_all_studies(spark, small, name):
     folder, con = small
-    got, want = catalog.QUERIES[name](spark, folder).toPandas(), con.execute(whole(name, *MAPS)).df()
+    got, want = catalog.QUERIES[name](spark, folder).toPandas(), con.execute(catalog.ORACLES[name]).df()
     assert plain(got) == plain(want)
     ids = {"reverse_terms_topk": "term"}.get(name, "study_id")
     assert got[ids].nunique() > 10
@@ -58,19 +46,19 @@ def test_maps_of_all_studies(spark, small, name):
 
 def test_all_documents_are_smoothed(spark, small):
     folder, con = small
-    got, want = catalog.QUERIES["smooth_vectors"](spark, folder).toPandas(), con.execute(whole("smooth_vectors", ("doc_id % 20 = 0 AND ", ""))).df()
+    got, want = catalog.QUERIES["smooth_vectors"](spark, folder).toPandas(), con.execute(catalog.ORACLES["smooth_vectors"]).df()
     assert plain(got) == plain(want) and got["doc_id"].nunique() == STUDIES
 
 
 def test_all_studies_are_unmasked(spark, small):
     folder, con = small
-    got, want = catalog.QUERIES["unmask_project"](spark, folder).toPandas(), con.execute(whole("unmask_project", (" WHERE study_id % 50 = 0", ""))).df()
+    got, want = catalog.QUERIES["unmask_project"](spark, folder).toPandas(), con.execute(catalog.ORACLES["unmask_project"]).df()
     assert plain(got) == plain(want) and got["study_id"].nunique() > 40
 
 
 def test_codecs_of_all_tokens(spark, small):
     folder, con = small
-    got, want = catalog.QUERIES["phrase_codecs"](spark, folder).toPandas(), con.execute(whole("phrase_codecs", ("k[1:2]", "k"))).df()
+    got, want = catalog.QUERIES["phrase_codecs"](spark, folder).toPandas(), con.execute(catalog.ORACLES["phrase_codecs"]).df()
     assert plain(got) == plain(want) and (got["head"].str.count("[|]") >= 2).all()
 
 

@@ -1,6 +1,6 @@
 """Highlighted text: XML, terminal and HTML forms, built from phrase spans.
 
-Spans come per text as array<struct<start, end, phrase, attributes>> in order;
+Spans come per text as array<struct<start, end, phrase[, attributes]>> in order;
 attributes is a map of further attributes (null: none).
 """
 
@@ -9,72 +9,75 @@ from __future__ import annotations
 import re
 from xml.sax.saxutils import escape, unescape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmap.functions.tokens import let
-
 BLUE, GREEN, END = "\033[94m", "\033[92m", "\033[0m"
 HTML_SPAN = ('<span style="background-color: LightBlue;">', "</span>")
 HTML_HEAD = '<html>\n<head>\n<meta http-equiv="Content-Type" content="text/html; charset=UTF-8">\n<meta charset="UTF-8">\n<title>highlighted text</title>\n</head>\n<body>'
 
 
-def escaped(text: Column) -> Column:
-    """Text with the three characters escaped that XML text can't hold."""
-    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-
+def _weaver(inside, outside):
+    """(text, spans) -> string: outside(text between spans) and inside(span, its text) in order; one pass over text and spans.
 
-def _woven(text: Column, spans: Column, inside, outside) -> Column:
-    """outside(text between spans) and inside(span, its text), joined in order."""
+    A null text is an empty one.
+    """
 
-    def build(own):
-        ends = F.concat(F.array(F.lit(0)), F.transform(own, lambda s: s["end"]))  # where the text before each span begins
+    @F.arrow_udf("string")
+    def weave(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, own in zip(texts.to_pylist(), spans.to_pylist()):
+            text, parts, at = text or "", [], 0
+            for s in own or ():
+                parts += [outside(text[at : s["start"]]), inside(s, text[s["start"] : s["end"]])]
+                at = s["end"]
+            parts.append(outside(text[at:]))
+            out.append("".join(parts))
+        return pa.array(out, pa.string())
 
-        def woven(at):
-            parts = F.transform(
-                own,
-                lambda s, i: F.concat(outside(F.substring(text, F.get(at, i) + 1, s["start"] - F.get(at, i))), inside(s, F.substring(text, s["start"] + 1, s["end"] - s["start"]))),
-            )
-            return F.concat(F.array_join(parts, ""), outside(F.substring(text, F.element_at(at, -1) + 1, F.length(text))))
+    return weave
 
-        return let(ends, woven)
 
-    return let(spans, build)
+def _attributes(s: dict) -> str:
+    return "".join(f' {k}="{v}"' for k, v in s.get("attributes") or ())
 
 
 def highlight_xml(text: Column, spans: Column) -> Column:
     """<highlighted_text> with <extracted_phrase standardized_form="..."> around each span. Attributes aren't escaped."""
 
     def inside(s, own):
-        more = F.coalesce(F.array_join(F.transform(F.map_entries(s["attributes"]), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), e["value"], F.lit('"'))), ""), F.lit(""))
-        return F.concat(F.lit('<extracted_phrase standardized_form="'), s["phrase"], F.lit('"'), more, F.lit(">"), escaped(own), F.lit("</extracted_phrase>"))
+        return f'<extracted_phrase standardized_form="{s["phrase"]}"{_attributes(s)}>{escape(own)}</extracted_phrase>'
 
-    return F.concat(F.lit("<highlighted_text>"), _woven(text, spans, inside, escaped), F.lit("</highlighted_text>"))
+    return F.concat(F.lit("<highlighted_text>"), _weaver(inside, escape)(text, spans), F.lit("</highlighted_text>"))
 
 
 def highlight_terminal(text: Column, spans: Column, replace: bool = False) -> Column:
     """[phrases] in blue; with replace their standard forms, in green."""
     if replace:
-        return _woven(text, spans, lambda s, own: F.concat(F.lit(GREEN + "["), s["phrase"], F.lit("]" + END)), lambda t: t)
-    return _woven(text, spans, lambda s, own: F.concat(F.lit(BLUE + "["), own, F.lit("]" + END)), lambda t: t)
+        return _weaver(lambda s, own: f"{GREEN}[{s['phrase']}]{END}", lambda t: t)(text, spans)
+    return _weaver(lambda s, own: f"{BLUE}[{own}]{END}", lambda t: t)(text, spans)
 
 
 def highlight_html(text: Column, spans: Column, standalone: bool = False) -> Column:
     """A span element with phrases on light blue, or a page of it."""
-    body = F.concat(F.lit("<span>"), _woven(text, spans, lambda s, own: F.concat(F.lit(HTML_SPAN[0]), escaped(own), F.lit(HTML_SPAN[1])), escaped), F.lit("</span>"))
+    woven = _weaver(lambda s, own: HTML_SPAN[0] + escape(own) + HTML_SPAN[1], escape)(text, spans)
+    body = F.concat(F.lit("<span>"), woven, F.lit("</span>"))
     return F.concat(F.lit(HTML_HEAD), body, F.lit("</body>\n</html>\n")) if standalone else body
 
 
 def with_spans(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", attributes: Column | None = None) -> DataFrame:
-    """docs with `spans`: the phrases of extract_spans, in order; an empty array for texts without any."""
+    """docs with `spans`: the phrases of extract_spans, in order; an empty array for texts without any.
+
+    For phrases that a join has given more columns to; without one, Pipeline.spans_in has the spans in the row.
+    attributes: a map of further attributes per phrase.
+    """
+    kind = "array<struct<pos:int,start:int,end:int,phrase:string,attributes:map<string,string>>>"
     more = F.lit(None).cast("map<string,string>") if attributes is None else attributes
-    own = phrases.withColumn("attributes", more)
-    lists = own.groupBy(F.col("doc_id").alias("span_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "phrase", F.to_json("attributes").alias("more")))).alias("spans"))
+    own = F.collect_list(F.struct("pos", "start", "end", "phrase", more.alias("attributes")))
+    lists = phrases.groupBy(F.col("doc_id").alias("span_id")).agg(F.array_sort(own, lambda a, b: a["pos"] - b["pos"]).alias("spans"))
     out = docs.join(lists, F.col(id_col) == F.col("span_id"), "left").drop("span_id")
-    kind = "array<struct<pos:int,start:int,end:int,phrase:string,more:string>>"
-    spans = F.coalesce("spans", F.array().cast(kind))
-    as_map = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["phrase"].alias("phrase"), F.from_json(s["more"], "map<string,string>").alias("attributes")))
-    return out.withColumn("spans", as_map)
+    return out.withColumn("spans", F.coalesce("spans", F.array().cast(kind)))
 
 
 _PHRASE = re.compile(r'<extracted_phrase standardized_form="(.*?)"[^>]*>(.*?)</extracted_phrase>', re.S)

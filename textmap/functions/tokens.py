@@ -30,10 +30,16 @@ STEMMERS = ("identity", "porter_stemmer", "wordnet_lemmatizer")
 
 
 def stop_word_list(stop_words: str | Iterable[str] = "nltk") -> list[str]:
-    """The words of a named list, or those given. Only one named list ships with the library."""
+    """The words of a named list, or those given. The list 'sklearn' is that of the scikit-learn package, and needs it."""
     if isinstance(stop_words, str):
         if stop_words == "nltk":
             return sorted(STOP_WORDS)
+        if stop_words == "sklearn":
+            try:
+                from sklearn.feature_extraction.text import ENGLISH_STOP_WORDS
+            except ImportError as e:
+                raise ImportError("the stop word list 'sklearn' comes with scikit-learn, which isn't installed: pass the words themselves") from e
+            return sorted(ENGLISH_STOP_WORDS)
         raise ValueError(f"unknown stop word list {stop_words!r}: pass the words themselves")
     return sorted(set(stop_words))
 

@@ -7,9 +7,11 @@ a DataFrame of phrases with their spans. Nothing is kept between calls.
 from __future__ import annotations
 
 import dataclasses
+import itertools
 from collections.abc import Mapping
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,42 +23,98 @@ OUT_OF_VOC = ("ignore", "keep", "[]", "{}")
 #: Vocabularies are sent to every task; a larger one is refused rather than sent.
 MAX_PHRASES = 2_000_000
 
-_FOUND = "array<struct<first:int,n:int,known:boolean>>"
-
-
-def out_of_voc_form(token: Column, policy: str) -> Column:
-    """The phrase that stands for a token outside the vocabulary; null: none."""
+def out_of_voc_form(token: str, policy: str) -> str | None:
+    """The phrase that stands for a token outside the vocabulary; None: none."""
     if policy == "ignore":
-        return F.lit(None).cast("string")
+        return None
     if policy == "keep":
         return token
-    if policy in ("[]", "{}"):
-        return F.concat(F.lit(policy[0]), token, F.lit(policy[1]))
-    return F.lit(policy)
-
-
-def longest_matches(tokens: list[str], phrases: frozenset[str], longest: int) -> list[tuple[int, int, bool]]:
-    """(first, words, known) from left to right; at each place the longest phrase, else one unknown token."""
-    out, at = [], 0
-    while at < len(tokens):
-        for n in range(min(longest, len(tokens) - at), 0, -1):
-            if " ".join(tokens[at : at + n]) in phrases:
-                out.append((at, n, True))
-                at += n
-                break
-        else:
-            out.append((at, 1, False))
-            at += 1
-    return out
-
-
-def matcher(phrases: frozenset[str]):
-    """array<string> -> array<struct<first, n, known>>, in Arrow batches; time is linear in the tokens."""
-    longest = max((p.count(" ") + 1 for p in phrases), default=0)
-
-    @F.pandas_udf(_FOUND)
-    def match(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda ts: [] if ts is None else [{"first": a, "n": n, "known": k} for a, n, k in longest_matches(list(ts), phrases, longest)])
+    return policy[0] + token + policy[1] if policy in ("[]", "{}") else policy
+
+
+_PHRASES = "array<struct<pos:int,phrase:string,known:boolean>>"
+_SPANS = "array<struct<pos:int,start:int,end:int,phrase:string,known:boolean>>"
+
+
+def _list_values(column: pa.Array) -> tuple[list[int], list]:
+    """Where each row's list ends, and all values; null lists are empty."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+    return list(itertools.accumulate(sizes)), column.flatten().to_pylist()
+
+
+def _phrase_finder(pipeline: Pipeline):
+    """(standard tokens) -> (first token, tokens, phrase, known) from left to right; at each place the longest phrase, else one unknown token (None: it stands for nothing)."""
+    phrases, mapping, policy = pipeline._sent(), dict(pipeline.mapping), pipeline.out_of_voc
+    longest: dict[str, int] = {}
+    for phrase in phrases:
+        words = phrase.split(" ")
+        longest[words[0]] = max(longest.get(words[0], 0), len(words))
+
+    def find(tokens: list[str]):
+        at, n_tokens = 0, len(tokens)
+        while at < n_tokens:
+            token = tokens[at]
+            for n in range(min(longest.get(token, 0), n_tokens - at), 0, -1):
+                phrase = token if n == 1 else " ".join(tokens[at : at + n])
+                if phrase in phrases:
+                    yield at, n, mapping.get(phrase, phrase), True
+                    break
+            else:
+                n, phrase = 1, out_of_voc_form(token, policy)
+                yield at, 1, mapping.get(phrase, phrase), False
+            at += n
+
+    return find
+
+
+def phrases_of_tokens(pipeline: Pipeline):
+    """array<string> of standard tokens -> array<struct<pos, phrase, known>>, in Arrow batches; time is linear in the tokens."""
+    find, stops = _phrase_finder(pipeline), frozenset(pipeline.stop_words)
+
+    @F.arrow_udf(_PHRASES)
+    def match(tokens: pa.Array) -> pa.Array:
+        ends, words = _list_values(tokens)
+        offsets, pos, phrase, known, at = [0], [], [], [], 0
+        for end in ends:
+            for i, (_, _, p, k) in enumerate(find([w for w in words[at:end] if w not in stops])):
+                if p is not None:
+                    pos.append(i)
+                    phrase.append(p)
+                    known.append(k)
+            offsets.append(len(phrase))
+            at = end
+        values = pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(phrase, pa.string()), pa.array(known, pa.bool_())], ["pos", "phrase", "known"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+    return match
+
+
+def spans_of_tokens(pipeline: Pipeline):
+    """(standard tokens, their lengths in the text, the gaps before them) -> array<struct<pos, start, end, phrase, known>>."""
+    find, stops = _phrase_finder(pipeline), frozenset(pipeline.stop_words)
+
+    @F.arrow_udf(_SPANS)
+    def match(tokens: pa.Array, sizes: pa.Array, gaps: pa.Array) -> pa.Array:
+        ends, words = _list_values(tokens)
+        (_, sizes), (gap_ends, gaps) = _list_values(sizes), _list_values(gaps)
+        offsets, rows, at, gap_at = [0], ([], [], [], [], []), 0, 0
+        for end, gap_end in zip(ends, gap_ends):
+            kept, place = [], 0
+            for word, size, gap in zip(words[at:end], sizes[at:end], gaps[gap_at:gap_end]):
+                place += gap
+                if word not in stops:
+                    kept.append((word, place, place + size))
+                place += size
+            for pos, (first, n, phrase, known) in enumerate(find([w for w, _, _ in kept])):
+                if phrase is not None:
+                    for column, value in zip(rows, (pos, kept[first][1], kept[first + n - 1][2], phrase, known)):
+                        column.append(value)
+            offsets.append(len(rows[0]))
+            at, gap_at = end, gap_end
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
+        values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["pos", "start", "end", "phrase", "known"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
     return match
 
@@ -80,18 +138,15 @@ class Pipeline:
         """Standard tokens without stop words."""
         return T.without_stop_words(T.standardize(T.tokenize(text, self.token_pattern), self.stemming), self.stop_words)
 
-    def kept_spans(self, text: Column) -> Column:
-        """array<struct<token, start, end>> of the same tokens."""
-        spans = T.token_spans(text, self.token_pattern)
-        standard = T.standardize(F.transform(spans, lambda s: s["token"]), self.stemming)
-        both = F.zip_with(spans, standard, lambda s, t: F.struct(t.alias("token"), s["start"].alias("start"), s["end"].alias("end")))
-        return F.filter(both, lambda s: ~s["token"].isin(list(self.stop_words))) if self.stop_words else both
+    def phrases_in(self, text: Column) -> Column:
+        """array<struct<pos, phrase, known>> of a text; pos counts unknown tokens too."""
+        return phrases_of_tokens(self)(T.standardize(T.tokenize(text, self.token_pattern), self.stemming))
 
-    def _mapped(self, phrase: Column) -> Column:
-        if not self.mapping:
-            return phrase
-        pairs = [F.lit(x) for pair in self.mapping for x in pair]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), phrase), phrase)
+    def spans_in(self, text: Column) -> Column:
+        """array<struct<pos, start, end, phrase, known>>: a span reaches from its first token's start to its last token's end (code points)."""
+        tokens = T.tokenize(text, self.token_pattern)
+        gaps = F.transform(F.split(text, self.token_pattern, -1), F.length)
+        return spans_of_tokens(self)(T.standardize(tokens, self.stemming), F.transform(tokens, F.length), gaps)
 
     # Tables
 
@@ -99,26 +154,16 @@ class Pipeline:
         """doc_id, pos, phrase, known: the phrases of each text in order. Texts without any have no rows."""
         if not self.phrases and self.out_of_voc == "keep":
             rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(self.standard_tokens(F.col(text_col))).alias("pos", "phrase"))
-            return rows.select("doc_id", "pos", self._mapped(F.col("phrase")).alias("phrase"), F.lit(False).alias("known"))
-        match = matcher(self._sent())
-        rows = docs.select(F.col(id_col).alias("doc_id"), self.standard_tokens(F.col(text_col)).alias("tokens"))
-        rows = rows.select("doc_id", "tokens", F.posexplode(match("tokens")).alias("pos", "m"))
-        return rows.select("doc_id", "pos", self._phrase("tokens").alias("phrase"), F.col("m.known").alias("known")).filter("phrase IS NOT NULL")
+            pairs = [F.lit(x) for pair in self.mapping for x in pair]
+            phrase = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("phrase")), F.col("phrase")) if pairs else F.col("phrase")
+            return rows.select("doc_id", "pos", phrase.alias("phrase"), F.lit(False).alias("known"))
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(self.phrases_in(F.col(text_col))).alias("p"))
+        return rows.select("doc_id", "p.pos", "p.phrase", "p.known")
 
     def extract_spans(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """doc_id, pos, phrase, known, start, end: a span reaches from its first token's start to its last token's end."""
-        match = matcher(self._sent())
-        rows = docs.select(F.col(id_col).alias("doc_id"), self.kept_spans(F.col(text_col)).alias("spans"))
-        rows = rows.withColumn("tokens", F.transform("spans", lambda s: s["token"]))
-        rows = rows.select("doc_id", "tokens", "spans", F.posexplode(match("tokens")).alias("pos", "m"))
-        return rows.select(
-            "doc_id", "pos", self._phrase("tokens").alias("phrase"), F.col("m.known").alias("known"),
-            F.get(F.col("spans"), F.col("m.first"))["start"].alias("start"), F.get(F.col("spans"), F.col("m.first") + F.col("m.n") - 1)["end"].alias("end"),
-        ).filter("phrase IS NOT NULL")
-
-    def _phrase(self, tokens: str) -> Column:
-        words = F.array_join(F.slice(F.col(tokens), F.col("m.first") + 1, F.col("m.n")), " ")
-        return self._mapped(F.when(F.col("m.known"), words).otherwise(out_of_voc_form(words, self.out_of_voc)))
+        """doc_id, pos, phrase, known, start, end of the phrases of each text in order."""
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(self.spans_in(F.col(text_col))).alias("s"))
+        return rows.select("doc_id", "s.pos", "s.phrase", "s.known", "s.start", "s.end")
 
     def _sent(self) -> frozenset[str]:
         if len(self.phrases) > MAX_PHRASES:
@@ -139,28 +184,21 @@ class Pipeline:
         freq = self.frequencies()
         return spark.createDataFrame([(i, t, float(freq[t])) for i, t in enumerate(self.vocabulary())], "term_id int, term string, frequency double")
 
-    def phrases_of(self, term: str) -> list[str]:
+    def phrases_of(self, term: str, find=None) -> list[str]:
         """What a raw term becomes, on the driver: its phrases after stop words and synonyms."""
         import regex
 
         words = [w for w in T.standard_words(regex.findall(self.token_pattern, term), self.stemming) if w not in set(self.stop_words)]
-        known, longest = self.phrases, max((p.count(" ") + 1 for p in self.phrases), default=0)
-        mapping, out = dict(self.mapping), []
-        for at, n, is_known in longest_matches(words, known, longest):
-            phrase = " ".join(words[at : at + n])
-            if not is_known:
-                phrase = {"ignore": None, "keep": phrase, "[]": f"[{phrase}]", "{}": "{" + phrase + "}"}.get(self.out_of_voc, self.out_of_voc)
-            if phrase is not None:
-                out.append(mapping.get(phrase, phrase))
-        return out
+        return [phrase for _, _, phrase, _ in (find or _phrase_finder(self))(words) if phrase is not None]
 
     def frequencies(self) -> dict[str, float]:
         """Frequency of each vocabulary term; those of raw terms that become the same add up. 1 for all without any."""
         if not self.raw_vocabulary:
             return dict.fromkeys(self.vocabulary(), 1.0)
         sums: dict[str, float] = {}
+        find = _phrase_finder(self)
         for term, freq in self.raw_vocabulary:
-            phrase = (self.phrases_of(term) or [""])[0]
+            phrase = (self.phrases_of(term, find) or [""])[0]
             sums[phrase] = sums.get(phrase, 0.0) + float(freq)
         missing = [t for t in self.vocabulary() if t not in sums]
         if missing:
@@ -200,10 +238,21 @@ def standardizing_inverse(terms: DataFrame, standard: Column) -> DataFrame:
     return ranked.withColumn("rank", first).filter("rank = 1").select("standard_phrase", F.col("term").alias("original_phrase"))
 
 
-def derived_vocabulary(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", stop_words="nltk") -> DataFrame:
-    """term, df, frequency: the terms of the largest document frequency (ties: the smaller term)."""
-    base = Pipeline(out_of_voc="keep", stop_words=tuple(T.stop_word_list(stop_words)))
+def derived_vocabulary(docs: DataFrame, n_words: int, n_pairs: int = 0, text_col: str = "text", stop_words="nltk") -> DataFrame:
+    """term, df, frequency: the words, and the pairs of neighbouring words, of the largest document frequency (ties: the smaller term).
+
+    One pass over the texts: each gives its distinct terms, which are counted with map-side combine.
+    """
+    base = Pipeline(stop_words=tuple(T.stop_word_list(stop_words)))
     n = docs.count()
-    pairs = base.extract(docs, id_col, text_col).select("doc_id", F.col("phrase").alias("term")).distinct()
-    df = pairs.groupBy("term").agg(F.count("*").alias("df"))
-    return df.orderBy(F.col("df").desc(), F.col("term").asc()).limit(size).withColumn("frequency", F.col("df") / F.lit(float(max(n, 1))))
+    words = docs.select(base.standard_tokens(F.col(text_col)).alias("k"))
+    terms = F.array_distinct("k")
+    if n_pairs:
+        pairs = F.zip_with("k", F.slice("k", F.lit(2), F.size("k")), lambda a, b: F.concat(a, F.lit(" "), b))
+        terms = F.concat(terms, F.array_distinct(F.filter(pairs, F.isnotnull)))
+    counted = words.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.max(F.contains("term", F.lit(" "))).alias("pair"))
+    best = lambda rows, size: rows.orderBy(F.col("df").desc(), F.col("term").asc()).limit(size)
+    out = best(counted.filter("NOT pair"), n_words)
+    if n_pairs:
+        out = out.union(best(counted.filter("pair"), n_pairs))
+    return out.select("term", "df", (F.col("df") / F.lit(float(max(n, 1)))).alias("frequency"))

@@ -34,24 +34,17 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """The texts, dealt to all cores where the files have fewer parts than those (a single small file, say)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() <= cores else docs
 
 
 # The derived vocabulary: bounded by its two sizes
 
 
-def _pairs(docs: DataFrame) -> DataFrame:
-    kept = docs.select("doc_id", text.Pipeline().standard_tokens(F.col("text")).alias("k"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("k") - 1), lambda i: F.concat_ws(" ", F.get("k", i - 1), F.get("k", i)))
-    return kept.filter(F.size("k") > 1).select("doc_id", F.explode(F.array_distinct(pairs)).alias("term"))
-
-
 def _vocabulary(spark: SparkSession, sf_dir: str) -> list[tuple[str, float]]:
-    docs = _docs(spark, sf_dir)
-    n = max(docs.count(), 1)
-    words = text.derived_vocabulary(docs, N_WORDS).collect()
-    pairs = _pairs(docs).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "term").limit(N_PAIRS).collect()
-    return [(r["term"], r["df"] / n) for r in words] + [(r["term"], r["df"] / n) for r in pairs]
+    return [(r["term"], r["frequency"]) for r in text.derived_vocabulary(_docs(spark, sf_dir), N_WORDS, N_PAIRS).collect()]
 
 
 def _pipeline(spark: SparkSession, sf_dir: str, **settings) -> text.Pipeline:
@@ -123,7 +116,7 @@ def standardized_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.standardize_text(F.col("text")).alias("standard"))
 
 
-@query(_WITH + "x AS (SELECT 1) SELECT doc_id, array_to_string(list_transform(string_split(array_to_string(k[1:2], ' '), ' '), lambda w: w), '|') AS head FROM kept")
+@query(_WITH + "x AS (SELECT 1) SELECT doc_id, array_to_string(list_transform(string_split(array_to_string(k, ' '), ' '), lambda w: w), '|') AS head FROM kept")
 def phrase_codecs(spark, sf_dir):
     tokens = text.Pipeline().standard_tokens(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", F.array_join(T.split_phrase(T.join_phrase(tokens)), "|").alias("head"))
@@ -181,9 +174,8 @@ SELECT d.doc_id, {head} || coalesce(woven, '') || {outside.format("text[coalesce
 
 def _highlighted(form):
     def run(spark, sf_dir):
-        docs = _docs(spark, sf_dir)
-        spans = _pipeline(spark, sf_dir).extract_spans(docs)
-        return render.with_spans(docs, spans).select("doc_id", form(F.coalesce("text", F.lit("")), F.col("spans")).alias("highlighted"))
+        spans = _pipeline(spark, sf_dir).spans_in(F.col("text"))
+        return _docs(spark, sf_dir).select("doc_id", form(F.col("text"), spans).alias("highlighted"))
 
     return run
 
@@ -287,7 +279,7 @@ def document_frequency(spark, sf_dir):
     return vectors.document_frequencies(*_vectors(spark, sf_dir))
 
 
-# Ranking: the queries are the texts of the first turns of the conversations whose id is divisible by 20
+# Ranking: the queries are the documents whose id is divisible by 20
 
 
 def _query_vectors(spark, sf_dir, voc) -> DataFrame:
@@ -301,10 +293,7 @@ SELECT query_id, doc_id, round(s, 6) AS similarity FROM x WHERE s > 0 QUALIFY ro
 def similar_documents_topk(spark, sf_dir):
     v = vectors.Vectorizer(_pipeline(spark, sf_dir))
     corpus = v.transform(_docs(spark, sf_dir))
-    q = _query_vectors(spark, sf_dir, v).withColumnRenamed("value", "q")
-    products = q.join(corpus, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("value")).alias("s")).filter("s > 0")
-    best = ranking.top_per(products.withColumn("similarity", F.round("s", 6)), "query_id", "similarity", "doc_id", ranking.TOP_DOCUMENTS)
-    return best.select("query_id", "doc_id", "similarity")
+    return ranking.similar_documents(_query_vectors(spark, sf_dir, v), corpus, digits=6).select("query_id", "doc_id", "similarity")
 
 
 # A fixed factor: term number modulo 7 is its component, weights are simple fractions.
@@ -324,7 +313,7 @@ def _factor(spark, voc: DataFrame) -> DataFrame:
     return rows.select("term", (F.col("r") % 7).cast("int").alias("component"), (F.lit(1.0) / (1 + F.col("r") % 5)).alias("value"))
 
 
-@query(_WITH + _SMOOTH + "x AS (SELECT 1) SELECT doc_id, term, round(value, 6) AS value FROM smooth WHERE doc_id % 20 = 0 AND value <> 0")
+@query(_WITH + _SMOOTH + "x AS (SELECT 1) SELECT doc_id, term, round(value, 6) AS value FROM smooth WHERE value <> 0")
 def smooth_vectors(spark, sf_dir):
     v = vectors.Vectorizer(_pipeline(spark, sf_dir))
     out = smoothing.smoothed(v.transform(_docs(spark, sf_dir)), _factor(spark, v.pipeline.vocabulary_table(spark)))
@@ -380,8 +369,7 @@ def _pass(axis: str, n: int, source: str, name: str) -> str:
     return f"{name} AS (SELECT study_id, i, j, k, sum(value) AS value FROM ({inner}) GROUP BY 1, 2, 3, 4),\n"
 
 
-#: Smoothed maps are for the studies whose id is divisible by 20: the query set.
-_MAPS = _VOXELS + f"kernel(o, w) AS (VALUES {_kernel_sql()}),\np0 AS (SELECT * FROM peaks WHERE study_id % 20 = 0),\n" + _pass("i", _A, "p0", "s1") + _pass("j", _B, "s1", "s2") + _pass("k", _C, "s2", "s3") + "maps AS MATERIALIZED (SELECT study_id, voxel_id, value FROM s3 JOIN mask USING (i, j, k)),\n"
+_MAPS = _VOXELS + f"kernel(o, w) AS (VALUES {_kernel_sql()}),\np0 AS (SELECT * FROM peaks),\n" + _pass("i", _A, "p0", "s1") + _pass("j", _B, "s1", "s2") + _pass("k", _C, "s2", "s3") + "found_maps AS MATERIALIZED (SELECT study_id, voxel_id, value FROM s3 JOIN mask USING (i, j, k)),\nmaps AS MATERIALIZED (SELECT * FROM found_maps UNION ALL SELECT DISTINCT study_id, (SELECT min(voxel_id) FROM mask), 0.0 FROM c WHERE study_id IS NOT NULL AND study_id NOT IN (SELECT study_id FROM found_maps)),\n"
 
 
 def _coords(spark, sf_dir) -> DataFrame:
@@ -405,7 +393,7 @@ def mask_project(spark, sf_dir):
     return space.masked(space.peaks(_coords(spark, sf_dir).filter("study_id IS NOT NULL"), GRID), space.ellipsoid_mask(spark, GRID))
 
 
-@query(_VOXELS + "x AS (SELECT DISTINCT study_id FROM peaks WHERE study_id % 50 = 0) SELECT study_id, i, j, k, coalesce(value, 0) AS value FROM x CROSS JOIN mask LEFT JOIN peaks USING (study_id, i, j, k)")
+@query(_VOXELS + "x AS (SELECT DISTINCT study_id FROM peaks) SELECT study_id, i, j, k, coalesce(value, 0) AS value FROM x CROSS JOIN mask LEFT JOIN peaks USING (study_id, i, j, k)")
 def unmask_project(spark, sf_dir):
     mask = space.ellipsoid_mask(spark, GRID)
     peaks = space.peaks(_coords(spark, sf_dir).filter("study_id IS NOT NULL"), GRID)
@@ -434,7 +422,7 @@ def resampled_mask(spark, sf_dir):
 
 # From maps to terms and studies: term maps are the maps of studies, named by number
 
-_Q = "q AS (SELECT study_id AS query_id, voxel_id, -value AS value FROM maps WHERE study_id % 100 = 0),\n"
+_Q = "q AS (SELECT study_id AS query_id, voxel_id, -value AS value FROM maps WHERE study_id % 20 = 0),\n"
 
 
 @query(_MAPS + _Q + """
@@ -483,7 +471,6 @@ def _xy(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 _TERMS = [f"f{i:02d}" for i in range(64)]
 
 
-@functools.lru_cache(maxsize=4)
 def _moments(spark, sf_dir):
     return ridge.moments(*_xy(spark, sf_dir), _TERMS, [0, 1, 2, 3])
 
@@ -515,33 +502,6 @@ def ridge_one_feature(spark, sf_dir):
     return spark.createDataFrame(rows, "target long, alpha double, coef double, intercept double")
 
 
-def _fit_rows(spark, fit: ridge.Ridge) -> DataFrame:
-    rows = [(t, u, float(fit.coef[i, j]), fit.alpha) for i, t in enumerate(fit.terms) for j, u in enumerate(fit.targets)]
-    return spark.createDataFrame(rows, "term string, target long, coef double, alpha double")
-
-
-@query()
-def ridge_fit(spark, sf_dir):
-    return _fit_rows(spark, ridge.fit(_moments(spark, sf_dir)))
-
-
-@query()
-def adaptive_penalty(spark, sf_dir):
-    d = ridge.adaptive_penalty(ridge.fit(_moments(spark, sf_dir)))
-    return spark.createDataFrame([(t, float(p)) for t, p in zip(_TERMS, d)], "term string, penalty double")
-
-
-@query()
-def selective_ridge(spark, sf_dir):
-    return _fit_rows(spark, ridge.fit_selective(_moments(spark, sf_dir)))
-
-
-@query()
-def ridge_z_maps(spark, sf_dir):
-    z = ridge.fit_selective(_moments(spark, sf_dir)).z_maps()
-    return spark.createDataFrame([(t, j, float(z[i, j])) for i, t in enumerate(_TERMS) for j in range(4)], "term string, target long, z double")
-
-
 @query()
 def nmf_factor(spark, sf_dir):
     x, _, _ = _xy(spark, sf_dir)
