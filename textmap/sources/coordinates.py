@@ -31,5 +31,5 @@ def read_metadata(spark: SparkSession, path: str, study_col: str = "pmid") -> Da
 
 
 def write_maps(maps: DataFrame, path: str) -> None:
-    """Maps as Parquet, one folder per study."""
-    maps.repartition("study_id").write.mode("error").partitionBy("study_id").parquet(path)
+    """Maps as Parquet, in ranges of studies: a study's rows are together, and files are read by their bounds."""
+    maps.repartitionByRange("study_id").sortWithinPartitions("study_id", "voxel_id").write.mode("error").parquet(path)

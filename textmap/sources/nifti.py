@@ -57,6 +57,39 @@ def dumps(values: np.ndarray, affine: np.ndarray) -> bytes:
     return gzip.compress(bytes(head) + values.tobytes(order="F"), mtime=0)
 
 
+def volumes(maps, grid):
+    """study_id, content: each study's map (study_id, voxel_id, value) as the bytes of a .nii.gz file. A task holds one volume at a time."""
+    import pandas as pd
+
+    shape, affine = tuple(grid.shape), np.array(grid.affine)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        values = np.zeros(int(np.prod(shape)), np.float32)
+        values[frame["voxel_id"].to_numpy()] = frame["value"].to_numpy()
+        return pd.DataFrame({"study_id": [frame["study_id"].iloc[0]], "content": [dumps(values.reshape(shape), affine)]})
+
+    kind = maps.schema["study_id"].dataType.simpleString()
+    return maps.select("study_id", "voxel_id", "value").groupBy("study_id").applyInPandas(one, f"study_id {kind}, content binary")
+
+
+def write_volumes(maps, grid, folder: str) -> None:
+    """One <study>.nii.gz per study in a folder; each task writes its own, under a name that a task run again writes anew."""
+
+    def write(frames):
+        import pandas as pd
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system.create_dir(base, recursive=True)
+        for frame in frames:
+            for study, content in zip(frame["study_id"], frame["content"]):
+                with system.open_output_stream(f"{base}/{study}.nii.gz", compression=None) as out:
+                    out.write(content)
+                yield pd.DataFrame({"study_id": [str(study)]})
+
+    volumes(maps, grid).mapInPandas(write, "study_id string").count()
+
+
 def read_mask(spark, path: str):
     """(mask table, grid) of a volume: its non-zero voxels."""
     from textmap.operators.space import Grid
