@@ -1,9 +1,11 @@
 """Ridge regression of maps on term vectors: leave-one-out selection, adaptive and selective forms, z-maps.
 
 Inputs are long: x (study_id, term, value), y (study_id, target, value), and the
-studies. Sums and products (X^T X, X^T Y) are aggregated by Spark; the p x p
-eigenproblem G = V diag(l) V^T is solved on the driver; all penalties then cost
-one pass over the rows for the leave-one-out errors:
+studies. Each study becomes one row of two sparse vectors. X^T X and X^T Y are sums
+of products of dense blocks of rows, added up per task and then per feature by a
+shuffle, so no pair of terms is ever a row; targets are gone through in blocks of a
+fixed size. The p x p eigenproblem G = V diag(l) V^T is solved on the driver; all
+penalties then cost one pass over the rows for the leave-one-out errors:
 
   coefficients   V diag(1 / (l + a)) V^T C
   leverage       1/n + sum_k (x_i . v_k)^2 / (l_k + a)
@@ -27,13 +29,15 @@ MAX_FEATURES = 6000
 #: Numbers sent to every task at once, at most; more targets are gone through in blocks.
 MAX_SENT = 20_000_000
 FLOOR = 1e-24
+#: Numbers in a dense block of rows, and tasks that add up products, at most (each hands on a p x p matrix).
+BLOCK, TASKS = 4_000_000, 64
 
 
 @dataclasses.dataclass
 class Moments:
     """What the rows of X and Y add up to, and the rows for the passes."""
 
-    rows: DataFrame  # study_id, x: array<struct<at,value>>, y: array<struct<at,value>>
+    rows: DataFrame  # study_id, and sparse vectors: x_at, x_value, y_at, y_value
     n: int
     terms: list
     targets: list
@@ -56,29 +60,63 @@ def moments(x: DataFrame, y: DataFrame, studies: DataFrame, terms: list, targets
     xi = x.join(F.broadcast(_index(spark, terms, "term")), "term").join(ids, "study_id", "left_semi").select("study_id", F.col("at_term").alias("t"), "value")
     yi = y.join(_index(spark, targets, "target"), "target").join(ids, "study_id", "left_semi").select("study_id", F.col("at_target").alias("t"), "value")
     n, p, q = ids.count(), len(terms), len(targets)
-    a, b = xi.alias("a"), xi.alias("b")
-    same = F.col("a.study_id") == F.col("b.study_id")
-    g = a.join(b, same & (F.col("a.t") <= F.col("b.t"))).groupBy(F.col("a.t").alias("i"), F.col("b.t").alias("j")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("v")).toPandas()
-    c = a.join(yi.alias("b"), same).groupBy(F.col("a.t").alias("i"), F.col("b.t").alias("j")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("v")).toPandas()
+    rows = ids
+    for t, name in ((xi, "x"), (yi, "y")):
+        lists = t.groupBy("study_id").agg(F.collect_list(F.struct(F.col("t").alias("at"), "value")).alias("own"))
+        rows = rows.join(lists.select("study_id", F.col("own.at").alias(f"{name}_at"), F.col("own.value").alias(f"{name}_value")), "study_id", "left")
     gram, cross, mx, my = np.zeros((p, p)), np.zeros((p, q)), np.zeros(p), np.zeros(q)
-    gram[g["i"], g["j"]] = g["v"]
-    gram = np.triu(gram) + np.triu(gram, 1).T
-    cross[c["i"], c["j"]] = c["v"]
     for m, t in ((mx, xi), (my, yi)):
         s = t.groupBy("t").agg(F.sum("value").alias("v")).toPandas()
         m[s["t"]] = s["v"] / max(n, 1)
-    lists = [t.groupBy("study_id").agg(F.collect_list(F.struct(F.col("t").alias("at"), "value")).alias(name)) for t, name in ((xi, "x"), (yi, "y"))]
-    rows = ids.join(lists[0], "study_id", "left").join(lists[1], "study_id", "left")
+    few = rows.coalesce(TASKS)
+    for a, b in _blocks(p, q) or [(0, 0)]:
+        sums = few.mapInPandas(_products(p, a, b, a == 0), _SUMS).groupBy("i").applyInPandas(_added, _SUMS)
+        for r in sums.toLocalIterator():
+            if a == 0:
+                gram[r["i"]] = r["g"]
+            cross[r["i"], a:b] = r["c"]
     return Moments(rows, n, list(terms), list(targets), mx, my, gram - n * np.outer(mx, mx), cross - n * np.outer(mx, my))
 
 
-def _dense(lists: pd.Series, width: int, low: int = 0) -> np.ndarray:
-    out = np.zeros((len(lists), width))
-    for r, own in enumerate(lists):
-        if own is not None:
-            for e in own:
-                if 0 <= e["at"] - low < width:
-                    out[r, e["at"] - low] += e["value"]
+_SUMS = "i int, g array<double>, c array<double>"
+
+
+def _products(p: int, a: int, b: int, with_gram: bool):
+    """X^T X and X^T Y[a:b] of a task's rows, one row per feature."""
+
+    def run(frames):
+        gram, cross = np.zeros((p, p if with_gram else 0)), np.zeros((p, b - a))
+        for frame in frames:
+            for part in _parts(frame, p + b - a):
+                x = _dense(part["x_at"], part["x_value"], p)
+                cross += x.T @ _dense(part["y_at"], part["y_value"], b - a, a)
+                if with_gram:
+                    gram += x.T @ x
+        yield pd.DataFrame({"i": np.arange(p, dtype=np.int32), "g": list(gram), "c": list(cross)})
+
+    return run
+
+
+def _added(frame: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"i": frame["i"].iloc[:1], "g": [np.sum(frame["g"].to_list(), axis=0)], "c": [np.sum(frame["c"].to_list(), axis=0)]})
+
+
+def _parts(frame: pd.DataFrame, width: int):
+    step = max(1, BLOCK // max(width, 1))
+    for k in range(0, len(frame), step):
+        yield frame.iloc[k : k + step]
+
+
+def _dense(at: pd.Series, value: pd.Series, width: int, low: int = 0, where: np.ndarray | None = None) -> np.ndarray:
+    """Rows of sparse vectors as a matrix of the columns low to low + width; where gives each place its column (-1: none)."""
+    out = np.zeros((len(at), width))
+    own = [k for k, x in enumerate(at) if x is not None and len(x)]
+    if own:
+        row = np.repeat(own, [len(at.iloc[k]) for k in own])
+        column = np.concatenate([at.iloc[k] for k in own]).astype(np.int64)
+        column = column - low if where is None else where[column]
+        keep = (column >= 0) & (column < width)
+        np.add.at(out, (row[keep], column[keep]), np.concatenate([value.iloc[k] for k in own])[keep])
     return out
 
 
@@ -198,7 +236,8 @@ def fit(m: Moments, alphas=ALPHAS, penalty: np.ndarray | None = None, keep: np.n
     x_mean = m.x_mean[keep]
     alphas = np.asarray(alphas, float)
     spark = m.rows.sparkSession
-    where = {int(k): i for i, k in enumerate(keep)}
+    where = np.full(len(m.terms), -1)
+    where[keep] = np.arange(p)
     errors = None
     for a, b in _blocks(p, q):
         sent = spark.sparkContext.broadcast((where, basis, x_mean, values, basis.T @ m.cross[keep, a:b], m.y_mean[a:b]))
@@ -220,27 +259,18 @@ def fit(m: Moments, alphas=ALPHAS, penalty: np.ndarray | None = None, keep: np.n
     return Ridge(terms, m.targets, coef, intercept, gram, residual, alpha, mean, std, penalty, m.terms)
 
 
-def _local(lists: pd.Series, where: dict) -> np.ndarray:
-    out = np.zeros((len(lists), len(where)))
-    for r, own in enumerate(lists):
-        if own is not None:
-            for e in own:
-                if e["at"] in where:
-                    out[r, where[e["at"]]] += e["value"]
-    return out
-
-
 def _loo_pass(sent, alphas, n, a, b):
     def run(frames):
         where, basis, x_mean, values, d, y_mean = sent.value
         for frame in frames:
-            z = (_local(frame["x"], where) - x_mean) @ basis
-            y = _dense(frame["y"], b - a, a) - y_mean
-            out = []
-            for alpha in alphas:
-                h = 1 / n + (z**2 / (values + alpha)).sum(axis=1)
-                out.append((((y - (z / (values + alpha)) @ d) / (1 - h)[:, None]) ** 2).sum(axis=1))
-            yield pd.DataFrame({"study_id": frame["study_id"], "errors": list(np.array(out).T)})
+            for part in _parts(frame, len(x_mean) + b - a):
+                z = (_dense(part["x_at"], part["x_value"], len(x_mean), where=where) - x_mean) @ basis
+                y = _dense(part["y_at"], part["y_value"], b - a, a) - y_mean
+                out = []
+                for alpha in alphas:
+                    h = 1 / n + (z**2 / (values + alpha)).sum(axis=1)
+                    out.append((((y - (z / (values + alpha)) @ d) / (1 - h)[:, None]) ** 2).sum(axis=1))
+                yield pd.DataFrame({"study_id": part["study_id"], "errors": list(np.array(out).T)})
 
     return run
 
@@ -250,7 +280,9 @@ def _residual_pass(sent, a, b):
         where, coef, intercept = sent.value
         total = np.zeros(b - a)
         for frame in frames:
-            total += ((_local(frame["x"], where) @ coef + intercept - _dense(frame["y"], b - a, a)) ** 2).sum(axis=0)
+            for part in _parts(frame, len(coef) + b - a):
+                x = _dense(part["x_at"], part["x_value"], len(coef), where=where)
+                total += ((x @ coef + intercept - _dense(part["y_at"], part["y_value"], b - a, a)) ** 2).sum(axis=0)
         yield pd.DataFrame({"at": np.arange(a, b), "s": total})
 
     return run
