@@ -185,7 +185,19 @@ def test_maps_command(spark, tmp_path):
     maps_cli.main([str(tmp_path / "c.csv"), str(tmp_path / "m.nii.gz"), str(tmp_path / "out"), "--fwhm", "3"], spark)
     maps = spark.read.parquet(str(tmp_path / "out"))
     by = dict(space.iter_maps(maps))
-    assert set(by) == {7, 8} and sum(by[7].values()) == pytest.approx(1.0) and max(by[7], key=by[7].get) == 62
+    assert set(by) == {7, 8, 9} and by[9] == {0: 0.0} and sum(by[7].values()) == pytest.approx(1.0) and max(by[7], key=by[7].get) == 62
+
+
+def test_maps_command_writes_volumes(spark, tmp_path):
+    from textmap.plans import maps_cli
+
+    (tmp_path / "m.nii.gz").write_bytes(nifti.dumps(np.ones((5, 5, 5), np.uint8), np.diag([2.0, 2.0, 2.0, 1.0])))
+    (tmp_path / "c.csv").write_text("id,x,y,z\n7,4,4,4\n9,99,0,0\n")
+    maps_cli.main([str(tmp_path / "c.csv"), str(tmp_path / "m.nii.gz"), str(tmp_path / "out"), "--fwhm", "3", "--volumes"], spark)
+    found = {p.name: nifti.loads(p.read_bytes()) for p in (tmp_path / "out").iterdir()}
+    assert set(found) == {"7.nii.gz", "9.nii.gz"}
+    values, affine = found["7.nii.gz"]
+    assert values.sum() == pytest.approx(1.0) and values.argmax() == 62 and affine[0, 0] == 2.0 and not found["9.nii.gz"][0].any()
 
 
 def test_array_files(spark, tmp_path):

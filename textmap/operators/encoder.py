@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmap.functions import render
-from textmap.operators import ranking, ridge, smoothing, vectors
+from textmap.operators import ranking, ridge, smoothing, space, vectors
 from textmap.operators.text import Pipeline
 
 
@@ -117,6 +117,13 @@ class SmoothedModel:
         return cls(spark.read.parquet(f"{path}/smoothing/v"), weight, LinearModel.load(spark, f"{path}/regression"), to_z)
 
 
+def unmasked_maps(maps: DataFrame, mask: DataFrame | None) -> DataFrame:
+    if mask is None:
+        raise ValueError("this model has no mask to put its maps on")
+    own = maps.select(F.col("query_id").alias("study_id"), F.col("target").alias("voxel_id"), "value")
+    return space.unmasked(own, mask, own.select("study_id")).withColumnRenamed("study_id", "query_id")
+
+
 @dataclasses.dataclass
 class Encoder:
     """Texts to maps, related terms, similar documents and highlighted text. corpus: doc_id, term, value; metadata: doc_id and anything."""
@@ -145,16 +152,21 @@ class Encoder:
         maps = self.model.maps(raw, intercept=False, key="query_id")
         return {"raw_tfidf": raw, "smoothed_tfidf": smooth, "brain_map": maps, "z_map": maps}
 
+    def volume(self, maps: DataFrame) -> DataFrame:
+        """query_id, i, j, k, value: maps (query_id, target, value) on the mask's voxels, 0 where a map has none."""
+        return unmasked_maps(maps, self.mask)
+
     def explain(self, queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> dict[str, DataFrame]:
         """transform, and similar_words, similar_documents (None without a corpus), highlighted_text."""
         spark = queries.sparkSession
         out = self.transform(queries, id_col, text_col)
         norms = vectors.feature_norms(self.model.regression.coef)
-        out["similar_words"] = ranking.related_terms(out["raw_tfidf"], out["smoothed_tfidf"], norms, self.document_frequencies())
+        words = ranking.related_terms(out["raw_tfidf"], out["smoothed_tfidf"], norms, self.document_frequencies())
+        out["similar_words"] = words.orderBy("query_id", F.col("weight_in_brain_map").desc(), "term")
         out["similar_documents"] = None
         if self.corpus is not None:
             best = ranking.similar_documents(out["smoothed_tfidf"], self.corpus)
-            out["similar_documents"] = best if self.metadata is None else best.join(self.metadata, "doc_id")
+            out["similar_documents"] = (best if self.metadata is None else best.join(self.metadata, "doc_id")).orderBy("query_id", "rank")
         spans = self.vectorizer.pipeline.extract_spans(queries, id_col, text_col)
         inside = self.supervised_vocabulary(spark).select(F.col("term").alias("phrase"), F.lit(True).alias("inside"))
         spans = spans.join(inside, "phrase", "left")
@@ -190,10 +202,14 @@ class SimpleEncoder:
 
     def transform(self, queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> dict[str, DataFrame]:
         tfidf = self.vectorizer.transform(queries, id_col, text_col).withColumnRenamed("doc_id", "query_id")
-        shown = render.with_spans(queries, self.vectorizer.pipeline.extract_spans(queries, id_col, text_col), id_col)
-        text = shown.select(F.col(id_col).alias("query_id"), render.highlight_xml(F.col(text_col), F.col("spans")).alias("highlighted_text"))
+        spans = self.vectorizer.pipeline.spans_in(F.col(text_col))
+        text = queries.select(F.col(id_col).alias("query_id"), render.highlight_xml(F.col(text_col), spans).alias("highlighted_text"))
         return {"brain_map": self.regression.predict(tfidf, intercept=False, key="query_id"), "highlighted_text": text}
 
+    def volume(self, maps: DataFrame) -> DataFrame:
+        """query_id, i, j, k, value of the maps on the mask's voxels."""
+        return unmasked_maps(maps, self.mask)
+
     def full_vocabulary(self) -> list[str]:
         return self.vectorizer.vocabulary()
 
