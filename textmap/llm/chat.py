@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import Tables, sized, with_columns_renamed_apart
+from textmap.llm.shared import Tables, sized, table, with_columns_renamed_apart
 
 BLOCK = 1024
 SYSTEM = "system"
@@ -89,4 +89,4 @@ SELECT conv_id, perspective, turn, role, name, rendered, "end" - length(rendered
 
 
 def op1_perspective_rotation(spark, sf_dir: str) -> DataFrame:
-    return rotated(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return rotated(table(spark, sf_dir, "conversations"))

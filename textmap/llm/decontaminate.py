@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import Tables, U, batches, mix, sized, with_columns_renamed_apart, word_codes
+from textmap.llm.shared import Tables, U, batches, mix, sized, table, with_columns_renamed_apart, word_codes
 
 #: The first two are for items of MIN_OVERLAP tokens or more, the others for shorter ones.
 MASKS = ("1111", "1110111", "111", "10111", "11011", "11101")
@@ -251,4 +251,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op10_spaced_seeds(spark, sf_dir: str) -> DataFrame:
-    return contaminated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated_spans(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import with_columns_renamed_apart
+from textmap.llm.shared import table, with_columns_renamed_apart
 
 _NEVER = frozenset("script style noscript template svg math head title nav footer aside form button select option textarea iframe object embed canvas audio video dialog menu input label fieldset".split())
 _RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "svg", "template")
@@ -392,4 +392,4 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def op6_max_subsequence(spark, sf_dir: str) -> DataFrame:
-    return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extracted(table(spark, sf_dir, "pages"))

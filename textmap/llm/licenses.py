@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import batches, with_columns_renamed_apart
+from textmap.llm.shared import batches, table, with_columns_renamed_apart
 
 # Phrases and labels that every scan reports.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -239,4 +239,4 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op8_signature_rules(spark, sf_dir: str) -> DataFrame:
-    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")

@@ -44,7 +44,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import Tables, sized
+from textmap.llm.shared import Tables, sized, table
 
 DIMENSIONS = ("source", "lang", "topic")
 FRACTION, TEMPERATURE, SEED = 0.5, 0.5, "mix-1"
@@ -262,7 +262,7 @@ SQL = _sql()
 
 def op7_raking(spark, sf_dir: str) -> DataFrame:
     tables = Tables(spark)
-    rows = with_tokens_and_topic(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = with_tokens_and_topic(table(spark, sf_dir, "documents"))
     # Counted once: the narrow table serves both the cells and the rows.
     rows = tables.keep(rows.select("doc_id", *[k.alias(_COLUMNS[d]) for d, k in _keys().items()], "mix_tokens"), "counted")
     return with_probabilities(rows, raked_cells(rows, tables)).select(

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import Tables, U, batches, mix, ngrams, signed, sized, with_columns_renamed_apart, word_codes
+from textmap.llm.shared import Tables, U, batches, mix, ngrams, signed, sized, table, with_columns_renamed_apart, word_codes
 
 BUCKETS, ROWS, MANTISSA = 96, 4, 10
 SHINGLE = 5
@@ -341,4 +341,4 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 
 
 def op9_hyperminhash(spark, sf_dir: str) -> DataFrame:
-    return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
+    return link_components(table(spark, sf_dir, "documents"), percent=85)

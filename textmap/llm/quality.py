@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import _SPACE, Tables, batches, ngrams, sized, with_columns_renamed_apart, word_codes
+from textmap.llm.shared import _SPACE, Tables, batches, ngrams, sized, table, with_columns_renamed_apart, word_codes
 
 #: Largest share of a stratum's good documents that all rules together may reject, and the confidence.
 MAX_FALSE_REJECTION, CONFIDENCE = 0.05, 0.95
@@ -226,5 +226,5 @@ FROM counts LEFT JOIN rejected USING (doc_id)
 
 
 def op3_risk_controlled_rules(spark, sf_dir: str) -> DataFrame:
-    out = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = judged(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], F.col("q_kept").alias("kept"), F.col("q_rejected_by").alias("rejected_by"))

@@ -164,6 +164,12 @@ class Tables:
 BROADCAST_ROWS = 1_000_000
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; dealt to all cores if its files have fewer parts than those (a single small file, say)."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def sized(tables: Tables, df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df as a kept table, to be broadcast if it has at most so many rows."""
     from pyspark.sql import functions as F

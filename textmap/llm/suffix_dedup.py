@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import PIECE, Tables, U, _P, _PINV, _powers_of, batches, mix, ngrams, signed, sized, with_columns_renamed_apart, word_codes
+from textmap.llm.shared import PIECE, Tables, U, _P, _PINV, _powers_of, batches, mix, ngrams, signed, sized, table, with_columns_renamed_apart, word_codes
 
 MIN_WORDS, GRAM, WINDOW = 50, 8, 24
 RUN = MIN_WORDS - WINDOW + 1
@@ -414,4 +414,4 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op4_sparse_suffix_array(spark, sf_dir: str) -> DataFrame:
-    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated_passages(table(spark, sf_dir, "documents"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import with_columns_renamed_apart
+from textmap.llm.shared import table, with_columns_renamed_apart
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Rules up to this many (about 100 bytes each) are sent to all tasks; more are joined by a shuffle.
@@ -87,4 +87,4 @@ SELECT page_id, host, path, rule, coalesce(v, '{DEFAULT}') AS verdict FROM u LEF
 
 
 def op5_hashed_expressions(spark, sf_dir: str) -> DataFrame:
-    return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark))
+    return judged(table(spark, sf_dir, "pages"), rule_table(spark))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import Tables, sized, with_columns_renamed_apart
+from textmap.llm.shared import Tables, sized, table, with_columns_renamed_apart
 
 MIN_SHARED = 1000
 MAX_GAP, MAX_READ = 64 << 10, 4 << 20
@@ -186,5 +186,5 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN most IS
 
 
 def op2_warc_index(spark, sf_dir: str) -> DataFrame:
-    index = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), Tables(spark))
+    index = write_archives(table(spark, sf_dir, "pages"), Tables(spark))
     return read_records(index).drop("url")
