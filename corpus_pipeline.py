@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
 
 from textmap.llm import decontaminate, mixing, near_dedup, quality, suffix_dedup
-from textmap.llm.shared import Tables
+from textmap.llm.shared import Tables, table
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -36,14 +36,14 @@ STAGES = [
     ("benchmark decontamination", benchmark_decontamination),
     ("mixing sources to target weights", mixing_to_weights),
 ]
-#: Sketches, minimisers and spaced seeds aren't expressible; tests hold each stage against brute force.
+#: Sketches, minimisers and spaced seeds aren't expressible; tests hold the whole pipeline against one in plain Python.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     """All stages on documents; what a stage returns is written to the shared folder and read again."""
     tables = Tables(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = tables.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
