@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textmap.operators import encoder, ranking, ridge, smoothing, space, vectors
+from textmap.operators import estimators, encoder, ranking, ridge, smoothing, space, vectors
 from textmap.sources import coordinates, nifti
 
 
@@ -243,3 +243,26 @@ def test_encoder_finds_its_own_terms(spark, tmp_path):
 def test_ties_rank_by_key(spark):
     rows = spark.createDataFrame([(1, 5, 1.0), (1, 3, 1.0), (1, 4, 2.0)], "query_id long, doc_id long, s double")
     assert [(r.doc_id, r["rank"]) for r in ranking.top_per(rows, "query_id", "s", "doc_id", 2).orderBy("rank").collect()] == [(4, 1), (3, 2)]
+
+
+@pytest.mark.parametrize("make", [lambda: estimators.RidgeEstimator(), lambda: estimators.RidgeEstimator("adaptive"), lambda: estimators.RidgeEstimator("selective"), lambda: estimators.SmoothedEstimator(n_components=3, weight=0.0)])
+def test_estimators_share_a_protocol(spark, make):
+    rng = np.random.default_rng(8)
+    values = np.abs(rng.normal(size=(60, 8)))
+    weights = np.zeros((8, 2))
+    weights[2, 0], weights[5, 1] = 4.0, -3.0
+    out = values @ weights + 0.1 * rng.normal(size=(60, 2))
+    terms = [f"t{k}" for k in range(8)]
+    x = spark.createDataFrame([(i, terms[j], float(values[i, j])) for i in range(60) for j in range(8)], "study_id long, term string, value double")
+    y = spark.createDataFrame([(i, j, float(out[i, j])) for i in range(60) for j in range(2)], "study_id long, target long, value double")
+    model = make()
+    with pytest.raises(ValueError):
+        model.predict(x)
+    with pytest.raises(ValueError):
+        model.set_params(nothing=1)
+    model.set_params(alphas=(0.01, 1.0))
+    again = model.clone()
+    assert again.get_params() == model.get_params() and model.fit(x, y, terms) is model and not hasattr(again, "model_")
+    assert model.score(x, y) > 0.4
+    got = {(r.study_id, r.target): r.value for r in model.predict(x, "study_id").collect()}
+    assert len(got) == 120 and model.z_maps(x, "study_id").count() > 0

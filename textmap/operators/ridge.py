@@ -23,14 +23,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmap.operators.blocks import dense, sparse_blocks
+
 ALPHAS = tuple(np.logspace(-1, 3, 9))
 #: Features at most: the eigenproblem is the driver's.
 MAX_FEATURES = 6000
 #: Numbers sent to every task at once, at most; more targets are gone through in blocks.
 MAX_SENT = 20_000_000
 FLOOR = 1e-24
-#: Numbers in a dense block of rows, and tasks that add up products, at most (each hands on a p x p matrix).
-BLOCK, TASKS = 4_000_000, 64
+#: Tasks that add up products, at most: each hands on a p x p matrix.
+TASKS = 64
 
 
 @dataclasses.dataclass
@@ -87,9 +89,9 @@ def _products(p: int, a: int, b: int, with_gram: bool):
     def run(frames):
         gram, cross = np.zeros((p, p if with_gram else 0)), np.zeros((p, b - a))
         for frame in frames:
-            for part in _parts(frame, p + b - a):
-                x = _dense(part["x_at"], part["x_value"], p)
-                cross += x.T @ _dense(part["y_at"], part["y_value"], b - a, a)
+            for part in sparse_blocks(frame, p + b - a):
+                x = dense(part["x_at"], part["x_value"], p)
+                cross += x.T @ dense(part["y_at"], part["y_value"], b - a, a)
                 if with_gram:
                     gram += x.T @ x
         yield pd.DataFrame({"i": np.arange(p, dtype=np.int32), "g": list(gram), "c": list(cross)})
@@ -101,25 +103,6 @@ def _added(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"i": frame["i"].iloc[:1], "g": [np.sum(frame["g"].to_list(), axis=0)], "c": [np.sum(frame["c"].to_list(), axis=0)]})
 
 
-def _parts(frame: pd.DataFrame, width: int):
-    step = max(1, BLOCK // max(width, 1))
-    for k in range(0, len(frame), step):
-        yield frame.iloc[k : k + step]
-
-
-def _dense(at: pd.Series, value: pd.Series, width: int, low: int = 0, where: np.ndarray | None = None) -> np.ndarray:
-    """Rows of sparse vectors as a matrix of the columns low to low + width; where gives each place its column (-1: none)."""
-    out = np.zeros((len(at), width))
-    own = [k for k, x in enumerate(at) if x is not None and len(x)]
-    if own:
-        row = np.repeat(own, [len(at.iloc[k]) for k in own])
-        column = np.concatenate([at.iloc[k] for k in own]).astype(np.int64)
-        column = column - low if where is None else where[column]
-        keep = (column >= 0) & (column < width)
-        np.add.at(out, (row[keep], column[keep]), np.concatenate([value.iloc[k] for k in own])[keep])
-    return out
-
-
 def _blocks(p: int, q: int):
     size = max(1, MAX_SENT // max(p, 1))
     return [(a, min(q, a + size)) for a in range(0, q, size)]
@@ -263,9 +246,9 @@ def _loo_pass(sent, alphas, n, a, b):
     def run(frames):
         where, basis, x_mean, values, d, y_mean = sent.value
         for frame in frames:
-            for part in _parts(frame, len(x_mean) + b - a):
-                z = (_dense(part["x_at"], part["x_value"], len(x_mean), where=where) - x_mean) @ basis
-                y = _dense(part["y_at"], part["y_value"], b - a, a) - y_mean
+            for part in sparse_blocks(frame, len(x_mean) + b - a):
+                z = (dense(part["x_at"], part["x_value"], len(x_mean), where=where) - x_mean) @ basis
+                y = dense(part["y_at"], part["y_value"], b - a, a) - y_mean
                 out = []
                 for alpha in alphas:
                     h = 1 / n + (z**2 / (values + alpha)).sum(axis=1)
@@ -280,9 +263,9 @@ def _residual_pass(sent, a, b):
         where, coef, intercept = sent.value
         total = np.zeros(b - a)
         for frame in frames:
-            for part in _parts(frame, len(coef) + b - a):
-                x = _dense(part["x_at"], part["x_value"], len(coef), where=where)
-                total += ((x @ coef + intercept - _dense(part["y_at"], part["y_value"], b - a, a)) ** 2).sum(axis=0)
+            for part in sparse_blocks(frame, len(coef) + b - a):
+                x = dense(part["x_at"], part["x_value"], len(coef), where=where)
+                total += ((x @ coef + intercept - dense(part["y_at"], part["y_value"], b - a, a)) ** 2).sum(axis=0)
         yield pd.DataFrame({"at": np.arange(a, b), "s": total})
 
     return run

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmap.operators.blocks import dense, sparse_blocks
+
 N_COMPONENTS, WEIGHT, MAX_ROUNDS, ALPHA, L1_RATIO, SEED = 300, 0.1, 200, 0.1, 0.1, 0
 #: Doubles of H sent to every task, at most.
 MAX_FACTOR = 20_000_000
@@ -42,7 +44,8 @@ def factor(vectors: DataFrame, terms: list[str], n_components: int = N_COMPONENT
         raise ValueError(f"a factor of {p} x {k} is larger than {MAX_FACTOR} numbers")
     spark = vectors.sparkSession
     index = spark.createDataFrame(list(enumerate(terms)), "at int, term string")
-    rows = vectors.join(index, "term").groupBy("doc_id").agg(F.collect_list(F.struct("at", "value")).alias("x")).persist()
+    lists = vectors.join(index, "term").groupBy("doc_id").agg(F.collect_list(F.struct("at", "value")).alias("x"))
+    rows = lists.select(F.col("x.at").alias("at"), F.col("x.value").alias("value")).persist()
     n = rows.count()
     if not n:
         return np.zeros((p, k))
@@ -72,19 +75,17 @@ def _pass(rows: DataFrame, sent, p: int, k: int, l1: float, l2: float, sweeps: i
         h = sent.value
         gram, total = h @ h.T, np.zeros((k, k + p))
         for frame in frames:
-            x = np.zeros((len(frame), p))
-            for r, own in enumerate(frame["x"]):
-                for e in own:
-                    x[r, e["at"]] += e["value"]
-            u = _descend(gram, x @ h.T, np.full((len(frame), k), 0.1), l1, l2, sweeps)
-            total += u.T @ np.hstack([u, x])
+            for own in sparse_blocks(frame, k + p):
+                x = dense(own["at"], own["value"], p)
+                u = _descend(gram, x @ h.T, np.full((len(x), k), 0.1), l1, l2, sweeps)
+                total += u.T @ np.hstack([u, x])
         yield pd.DataFrame({"c": np.arange(k), "sums": list(total)})
 
     def add(frame):
         return pd.DataFrame({"c": [frame["c"].iloc[0]], "sums": [np.sum(frame["sums"].to_list(), axis=0)]})
 
     kind = "c long, sums array<double>"
-    out = rows.select("x").mapInPandas(part, kind).groupBy("c").applyInPandas(add, kind).toPandas().sort_values("c")
+    out = rows.mapInPandas(part, kind).groupBy("c").applyInPandas(add, kind).toPandas().sort_values("c")
     return np.array(out["sums"].to_list())
 
 
