@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import Tables, U, batches, mix, sized, table, with_columns_renamed_apart, word_codes
+from textmap.llm.shared import Tables, U, mix, sized, table, text_batches, with_columns_renamed_apart, word_codes
 
 #: The first two are for items of MIN_OVERLAP tokens or more, the others for shorter ones.
 MASKS = ("1111", "1110111", "111", "10111", "11011", "11101")
@@ -191,10 +191,9 @@ def _finder(block_data):
     def run(stream):
         block = Block(*block_data.value)
         for batch in stream:
-            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             ids = batch.column(0).to_pylist()
-            for a, b in batches(texts):
-                codes, bounds = tokens(texts[a:b])
+            for a, b, texts in text_batches(batch.column(1)):
+                codes, bounds = tokens(texts)
                 ends = np.repeat(bounds[1:], np.diff(bounds))
                 hits: dict[int, list] = {}
                 for number, mask in block.masks:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import batches, table, with_columns_renamed_apart
+from textmap.llm.shared import table, text_batches, with_columns_renamed_apart
 
 # Phrases and labels that every scan reports.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -223,9 +223,8 @@ def _scan(stream):
     kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64()]
     spans_kind = pa.list_(pa.struct([("label", pa.string()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("confidence", pa.float64())]))
     for batch in stream:
-        texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-        for a, b in batches(texts):
-            rows = [scanned(t) for t in texts[a:b]]
+        for a, b, texts in text_batches(batch.column(1)):
+            rows = [scanned(t) for t in texts]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             spans = pa.array([[dict(zip(("label", "start_word", "end_word", "confidence"), s)) for s in r[7]] for r in rows], spans_kind)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns, spans], names=["doc_id", *_COLUMNS, "spans"])

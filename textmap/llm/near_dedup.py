@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import Tables, U, batches, mix, ngrams, signed, sized, table, with_columns_renamed_apart, word_codes
+from textmap.llm.shared import Tables, U, mix, ngrams, signed, sized, table, text_batches, with_columns_renamed_apart, word_codes
 
 BUCKETS, ROWS, MANTISSA = 96, 4, 10
 SHINGLE = 5
@@ -88,10 +88,6 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(empty, U(0), reg).astype(np.uint16).reshape(len(sets), BUCKETS)
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
 def _list(rows: np.ndarray, width: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * width + 1, width), pa.int32()), pa.array(rows.ravel(), pa.int64()))
 
@@ -106,9 +102,8 @@ def _fingerprints(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
 
 def _sketch(stream):
     for batch in stream:
-        texts = _texts(batch.column(1))
-        for a, b in batches(texts):
-            sets = shingle_sets(texts[a:b])
+        for a, b, texts in text_batches(batch.column(1)):
+            sets = shingle_sets(texts)
             packed = registers(sets).view(np.int64)
             sizes = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sizes, *_fingerprints(sets), _list(packed, BUCKETS // ROWS)], names=["id", "n", "f1", "f2", "sketch"])
@@ -116,9 +111,8 @@ def _sketch(stream):
 
 def _sets(stream):
     for batch in stream:
-        texts = _texts(batch.column(0))
-        for a, b in batches(texts):
-            sets = shingle_sets(texts[a:b])
+        for _, _, texts in text_batches(batch.column(0)):
+            sets = shingle_sets(texts)
             f1, f2 = _fingerprints(sets)
             ends = np.cumsum([0] + [len(s) for s in sets])
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -197,7 +191,7 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
         tables.drop(labels)
         if next_.filter("comp < was").isEmpty():
             tables.drop(both)
-            return spark.read.parquet(next_._table_path).select("id", "comp")
+            return tables.keep(next_.select("id", "comp"), "joined")
         labels = next_.select("id", "comp")
         labels._table_path = next_._table_path
 
@@ -302,8 +296,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared_most = F.least(F.col("o.n") - F.col("o.n_beside"), F.col("w.n") - F.col("w.n_beside")) + F.least("o.n_beside", "w.n_beside")
         beside_it = o.join(w, (F.col("o.centre") == F.col("w.centre")) & (F.col("o.g") == F.col("w.g")) & differ & (shared_most >= need)).select(*ends)
         comps = linked(with_room.union(beside_it), comps)
-    for done in (members, sets, sketches):
-        tables.drop(done)
+    tables.only(sketched, folded, comps)
     # A component is named by the smallest id of its rows.
     named = folded.join(comps, "id").groupBy("comp").agg(F.min("rep").alias("low"))
     comp_of = folded.join(comps, "id", "left").join(named, "comp", "left").select(*[F.col(k).alias(f"k_{k}") for k in keys], F.coalesce("low", "rep").alias("low"))

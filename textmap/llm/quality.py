@@ -28,11 +28,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import _SPACE, Tables, batches, ngrams, sized, table, with_columns_renamed_apart, word_codes
+from textmap.llm.shared import _SPACE, Tables, ngrams, sized, table, text_batches, with_columns_renamed_apart, word_codes
 
 #: Largest share of a stratum's good documents that all rules together may reject, and the confidence.
 MAX_FALSE_REJECTION, CONFIDENCE = 0.05, 0.95
@@ -78,24 +78,27 @@ def _lines(text: bytes) -> tuple[int, int]:
 
 def _counted(texts: list[bytes]) -> dict[str, list[int]]:
     rows = {c: [] for c in COUNTS}
-    for a, b in batches(texts):
-        codes, bounds = word_codes(texts[a:b])
-        for k, text in enumerate(texts[a:b]):
-            own = codes[bounds[k] : bounds[k + 1]]
-            kinds = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-            n_lines, n_dup = _lines(text)
-            points = int(kinds.sum() - kinds[128:192].sum() - kinds[_SPACE].sum())
-            for c, v in zip(COUNTS, (len(own), points, int(kinds @ _SYMBOLS), n_lines, n_dup, _repeated_words(own), int(kinds[33]), int(kinds @ _UPPER))):
-                rows[c].append(v)
+    codes, bounds = word_codes(texts)
+    for k, text in enumerate(texts):
+        own = codes[bounds[k] : bounds[k + 1]]
+        kinds = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+        n_lines, n_dup = _lines(text)
+        points = int(kinds.sum() - kinds[128:192].sum() - kinds[_SPACE].sum())
+        for c, v in zip(COUNTS, (len(own), points, int(kinds @ _SYMBOLS), n_lines, n_dup, _repeated_words(own), int(kinds[33]), int(kinds @ _UPPER))):
+            rows[c].append(v)
     return rows
 
 
 def _counts(text: F.Column) -> F.Column:
     """The counts of a text as a struct, in Arrow batches; the row's other columns don't leave the JVM."""
 
-    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
-    def count(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_counted([b"" if t is None else t.encode() for t in texts]), columns=COUNTS)
+    @F.arrow_udf(f"struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>")
+    def count(texts: pa.Array) -> pa.Array:
+        rows = {c: [] for c in COUNTS}
+        for _, _, part in text_batches(texts):
+            for c, own in _counted(part).items():
+                rows[c] += own
+        return pa.StructArray.from_arrays([pa.array(rows[c], pa.int64()) for c in COUNTS], COUNTS)
 
     return count(text)
 

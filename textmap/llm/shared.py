@@ -11,10 +11,12 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
-PIECE = 1 << 21  # bytes hashed at once; what a task holds for this is about 40 times as much
+PIECE = 1 << 19  # bytes hashed at once; what a task holds for this is about 40 times as much
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -105,15 +107,15 @@ def ngrams(codes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def batches(texts: list, size: int = PIECE):
-    """Index ranges of texts that hold at most about `size` bytes each."""
+def text_batches(column: pa.Array, size: int = PIECE):
+    """(first row, end, texts as bytes) of a column of strings, in parts of at most about `size` bytes: only one part is held as Python objects."""
+    column = column.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     at = 0
-    while at < len(texts):
-        end, total = at, 0
-        while end < len(texts) and (end == at or total + len(texts[end]) <= size):
-            total += len(texts[end])
-            end += 1
-        yield at, end
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + size, side="right")) - 1)
+        yield at, end, [x or b"" for x in column.slice(at, end - at).to_pylist()]
         at = end
 
 
@@ -136,11 +138,36 @@ def workspace(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/textmap-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch of texts at most: what the JVM and a Python worker hold of them at once, some copies each.
+BATCH_ROWS = 2000
+
+
+def with_small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS; its own setting stays if that is smaller."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Tables:
-    """Intermediate tables in the shared folder: they cut lineage and outlive executors."""
+    """Intermediate tables in the shared folder: they cut lineage and outlive executors.
+
+    Without a folder of the caller's they are temporary: they go when the driver ends, or before
+    that where `drop` and `only` say so.
+    """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.n = spark, workspace(spark), 0
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.base, self.n = spark, folder.rstrip("/") if folder else workspace(spark), 0
+        self.kept: list[str] = []
+        with_small_batches(spark)
+        if not folder:
+            fs, at = self._at(self.base)
+            fs.mkdirs(at)
+            fs.deleteOnExit(at)
+
+    def _at(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -151,25 +178,36 @@ class Tables:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._table_path = path
+        self.kept.append(path)
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Frees a table that no later step reads."""
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(df._table_path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self._free(df._table_path)
 
+    def only(self, *used: DataFrame) -> None:
+        """Frees all tables but these."""
+        held = {getattr(df, "_table_path", None) for df in used}
+        for path in [p for p in self.kept if p not in held]:
+            self._free(path)
 
-#: Rows of ids and small values that are sent to all tasks at most; larger tables are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+    def _free(self, path: str) -> None:
+        fs, at = self._at(path)
+        fs.delete(at, True)
+        self.kept.remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; dealt to all cores if its files have fewer parts than those (a single small file, say)."""
+    with_small_batches(spark)
     rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: Rows of ids and small values that are sent to all tasks at most; larger tables are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def sized(tables: Tables, df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df as a kept table, to be broadcast if it has at most so many rows."""
     from pyspark.sql import functions as F

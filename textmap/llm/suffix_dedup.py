@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmap.llm.shared import PIECE, Tables, U, _P, _PINV, _powers_of, batches, mix, ngrams, signed, sized, table, with_columns_renamed_apart, word_codes
+from textmap.llm.shared import PIECE, Tables, U, _P, _PINV, _powers_of, mix, ngrams, signed, sized, table, text_batches, with_columns_renamed_apart, word_codes
 
 MIN_WORDS, GRAM, WINDOW = 50, 8, 24
 RUN = MIN_WORDS - WINDOW + 1
@@ -79,15 +79,11 @@ def minimisers(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         return at, mix((total[at + RUN] - total[at]) * down[at])
 
 
-def _lowered(column: pa.Array) -> list[bytes]:
-    return [(x or b"").lower() for x in column.cast(pa.binary()).to_pylist()]
-
-
 def _suffixes(stream):
     for batch in stream:
-        texts, ids = _lowered(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
-        for a, b in batches(texts):
-            codes, bounds = word_codes(texts[a:b])
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for a, b, texts in text_batches(batch.column(1)):
+            codes, bounds = word_codes([t.lower() for t in texts])
             at, run = minimisers(codes, bounds)
             doc = np.searchsorted(bounds, at, side="right") - 1
             yield pa.RecordBatch.from_arrays(
@@ -98,10 +94,10 @@ def _suffixes(stream):
 def _contexts(stream):
     """The words around each suffix that is still of interest, as binary sort keys."""
     for batch in stream:
-        texts, ids = _lowered(batch.column(1)), batch.column(0).to_pylist()
-        found = batch.column(2)
-        for k, text in enumerate(texts):
-            codes, _ = word_codes([text])
+        ids, found = batch.column(0).to_pylist(), batch.column(2)
+        rows = ((a + k, text) for a, _, texts in text_batches(batch.column(1)) for k, text in enumerate(texts))
+        for k, text in rows:
+            codes, _ = word_codes([text.lower()])
             own = found[k].values
             pos, n = own.field("pos").to_numpy().astype(np.int64), len(codes)
             code = (codes >> U(32)).astype(">u4")
@@ -367,8 +363,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spans = ["id", "pos", "first_id", "first_pos", *_NAMES[-4:]]
     of_windows = tables.keep(_matches_of_windows(keyed.filter("many"), tables).groupBy(*spans[:4]).agg(*_widest()), "windows")
     compared = tables.keep(keyed.filter("NOT many").select(*_KEYS).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, _KINDS + _SPAN_KINDS), "compared")
-    for done in (keyed, suffixes):
-        tables.drop(done)
+    tables.only(of_windows, compared)
     edges = compared.filter("start IS NULL").select(*_KEYS)
     edges = edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours_of_edges, _KINDS + _SPAN_KINDS)
     hits = compared.filter("start IS NOT NULL").union(edges).select(*spans).union(of_windows.select(*spans)).groupBy(*spans[:4]).agg(*_widest())

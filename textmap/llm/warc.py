@@ -129,7 +129,7 @@ def roles(pages: DataFrame, tables: Tables, id_col: str = "page_id", url_col: st
 
 
 def write_archives(pages: DataFrame, tables: Tables, **columns) -> DataFrame:
-    """Writes the archives, then the index, which it returns."""
+    """Writes the archives, then the index, which it returns; into the folder of the tables, Tables(spark, folder) for one that stays."""
     return tables.keep(roles(pages, tables, **columns).mapInArrow(_writer(tables.path("archives")), INDEX), "index")
 
 
