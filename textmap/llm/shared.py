@@ -117,6 +117,7 @@ def text_batches(column: pa.Array, size: int = PIECE):
         end = max(at + 1, int(np.searchsorted(upto, upto[at] + size, side="right")) - 1)
         yield at, end, [x or b"" for x in column.slice(at, end - at).to_pylist()]
         at = end
+    pa.default_memory_pool().release_unused()  # workers live on: they give back what batches took
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -139,7 +140,7 @@ def workspace(spark: SparkSession) -> str:
 
 
 #: Rows of an Arrow batch of texts at most: what the JVM and a Python worker hold of them at once, some copies each.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def with_small_batches(spark: SparkSession) -> None:

@@ -394,15 +394,15 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     spans = repeated_passages(docs).filter("repeat").groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("cut_spans"))
     spans = sized(tables, spans, "cuts", rows=100_000)
 
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        import pandas as pd
-
-        return pd.Series([t if s is None or t is None else cut_words(t, [(x["start_word"], x["end_word"]) for x in s]) for t, s in zip(text, spans)], dtype=object)
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        own = ((a + k, text) for a, _, part in text_batches(texts) for k, text in enumerate(part))
+        return pa.array([cut_words(t.decode(), [(x["start_word"], x["end_word"]) for x in spans[k].as_py()]) if spans[k].is_valid else None for k, t in own], pa.string())
 
     joined = _one_text_per_id(docs, tables, "doc_id", "text").join(spans, (F.col("doc_id") == F.col("cut_id")) & F.col("sa_taken"), "left")
-    text = F.when(F.col("cut_spans").isNull(), F.col("text")).otherwise(cut("text", "cut_spans"))
-    joined = joined.withColumn("text", text)
+    # Only texts that lose words go to Python.
+    lost = F.when(F.col("cut_spans").isNotNull(), F.col("text"))
+    joined = joined.withColumn("text", F.when(F.col("cut_spans").isNull(), F.col("text")).otherwise(cut(lost, "cut_spans")))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("cut_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return joined.select(*docs.columns)
