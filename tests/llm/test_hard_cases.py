@@ -151,3 +151,20 @@ def test_odd_rows_through_every_scan(spark):
     docs = documents(spark, ODD + ODD, extra=True)
     assert near_dedup.link_components(docs).count() == suffix_dedup.cut_repeats(docs).count() == licenses.license_scan(docs).count() == 2 * len(ODD)
     assert docs.select(F.lit(1)).count() == 2 * len(ODD)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_edits_of_one_text_bring_few_pairs(spark, monkeypatch, percent):
+    """Copies with a few edits each of one text: links are those of brute force, and pairs that share only edits don't meet by the square."""
+    rng, texts = random.Random(12), []
+    for i in range(160):
+        own = [f"w{k}" for k in range(150)]
+        for at in rng.sample(range(150), rng.randrange(4, 8)):
+            own[at] = f"e{at % 5}"
+        texts.append((i, " ".join(own)))
+    asked, keep = [], Tables.keep
+    monkeypatch.setattr(Tables, "keep", lambda self, df, name="t": asked.append((name, keep(self, df, name))) or asked[-1][1])
+    monkeypatch.setattr(Tables, "only", lambda self, *used: None)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link_components(documents(spark, texts), percent=percent).collect()}
+    assert got == brute_components(texts, percent)
+    assert [name for name, _ in asked].count("asked") and sum(df.count() for name, df in asked if name == "asked") < len(texts) * (len(texts) - 1) // 8  # a quarter of all pairs

@@ -15,10 +15,11 @@ words; a null or wordless text has none and links with nothing).
    them in buckets of at most SMALL members; in larger ones the members meet the
    member with the fewest private shingles (those that no other member of such
    buckets has), the centre. Those outside the bucket's largest component then
-   meet the others where what both share with the centre leaves room for the
-   similarity. Any other pair must share a certain number of the shingles that
-   the centre lacks; it meets if it shares one of the rarest of those, all but that
-   number less one (the prefix filter). No other pair can reach the similarity,
+   meet the others where what both share with the centre, less what either lacks of
+   it, leaves room for the similarity. Any other pair must differ from the centre
+   alike in a certain number of shingles; it meets if it does in one of the rarest
+   of those, all but that number less one (the prefix filter), with enough of them
+   left behind it (the positional filter). No other pair can reach the similarity,
    and no bucket and no number of partners is capped.
 4. Estimate. Matching registers, corrected for collisions of registers that
    hold different values, give a Jaccard estimate; pairs five standard errors
@@ -270,32 +271,38 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hubs = tables.keep(now.join(traits, "id").groupBy("key").agg(F.min_by("id", F.struct(F.col("own") / F.col("n"), "id")).alias("centre")), "hubs")
         of_hub = tables.keep(now.join(hubs, "key").join(traits, "id").filter("id <> centre").select("centre", "id", "n").distinct(), "of_hub")
         comps = linked(of_hub.select(F.col("centre").alias("x"), F.col("id").alias("y")), comps)
-        # What each has beside its centre. Two texts share at most what both share with the centre, and what they share beside it.
+        # Where each differs from its centre: what it lacks (a) and what it has beside it. Two texts share what the centre has, less what
+        # either lacks: |c| - a - a', and where they differ from it alike. So they must differ alike in `must` shingles at least.
         own_set, centre_set = sets.withColumnRenamed("set", "own_set"), sets.select(F.col("id").alias("centre"), F.col("set").alias("centre_set"))
-        beside = of_hub.join(own_set, "id").join(centre_set, "centre").select("centre", "id", "n", F.array_except("own_set", "centre_set").alias("beside"))
+        lacks = F.array_except("centre_set", "own_set")
+        apart = of_hub.join(own_set, "id").join(centre_set, "centre")
+        apart = apart.select("centre", "id", "n", F.size("centre_set").alias("c"), F.size(lacks).alias("a"), F.concat(F.array_except("own_set", "centre_set"), lacks).alias("apart"))
         left = still_open(large, comps).join(hubs, "key").groupBy("centre", "id", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("out"))
-        left = tables.keep(left.join(beside, ["centre", "id"]), "beside")
+        left = tables.keep(left.join(apart, ["centre", "id"]), "apart")
         o, w = left.filter("out").alias("o"), left.alias("w")
         differ = (F.col("o.comp") != F.col("w.comp")) & (~F.col("w.out") | (F.col("o.id") < F.col("w.id"))) & fits
-        need = (F.col("o.n") + F.col("w.n")) * (t - 1e-9) / (1 + t)
+        share = (t - 1e-9) / (1 + t)
+        must = (F.col("o.n") + F.col("w.n")) * share - F.col("o.c") + F.col("o.a") + F.col("w.a")
         ends = [F.col("o.id").alias("x"), F.col("w.id").alias("y")]
-        room = F.least(F.col("o.n") - F.size("o.beside"), F.col("w.n") - F.size("w.beside")) >= need
-        with_room = o.join(w, (F.col("o.centre") == F.col("w.centre")) & differ & room).select(*ends)
-        # The rest must share some of what they have beside the centre: `least` at least, whatever the partner's size. So
-        # one of the rarest that leave out least - 1 of them is shared, in one order for all around a centre.
-        least = F.greatest(F.lit(1), F.ceil(F.col("n") * (t - 1e-9) - (F.col("n") - F.size("beside")))).cast("int")
-        grams = left.withColumn("n_beside", F.size("beside")).withColumn("rarest", F.col("n_beside") - least + 1).filter("rarest > 0")
-        grams = grams.select("centre", "id", "comp", "out", "n", "n_beside", "rarest", F.explode("beside").alias("g"))
+        with_room = o.join(w, (F.col("o.centre") == F.col("w.centre")) & differ & (must <= 0)).select(*ends)
+        # The rest differ alike somewhere: `least` shingles at least, whatever the partner (the one asking least is of a size near the
+        # centre's). So one of the rarest that leave out least - 1 of them is alike, in one order for all around a centre; and at the
+        # first that is, as many as they must share still follow in both.
+        near = F.least(F.greatest(F.col("c").cast("double"), F.col("n") * (t - 1e-9)), F.col("n") / (t - 1e-9))
+        least = (F.col("n") + near) * share - F.col("c") + F.col("a") + F.greatest(F.lit(0.0), F.col("c") - near)
+        least = F.greatest(F.lit(1), F.ceil(least - 1e-6)).cast("int")
+        grams = left.withColumn("n_apart", F.size("apart")).withColumn("rarest", F.col("n_apart") - least + 1).filter("rarest > 0")
+        grams = grams.select("centre", "id", "comp", "out", "n", "c", "a", "n_apart", "rarest", F.explode("apart").alias("g"))
         held_by = grams.groupBy("centre", "g").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
         order = W.partitionBy("centre", "id").orderBy("m", "h1", "h2", "g")
-        # Shingles that the very same texts have (those of one edit, say) bring the same pairs: the first of them does.
+        # Shingles that the very same texts have or lack (those of one edit, say) bring the same pairs: the first of them does.
         same = W.partitionBy("centre", "id", "m", "h1", "h2").orderBy("g")
         grams = grams.join(held_by, ["centre", "g"]).withColumn("at", F.row_number().over(order)).filter("at <= rarest AND m > 1")
-        grams = tables.keep(grams.withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("centre", "id", "comp", "out", "n", "n_beside", "g"), "rarest")
+        grams = grams.withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("centre", "id", "comp", "out", "n", "c", "a", (F.col("n_apart") - F.col("at") + 1).alias("rest"), "g")
+        grams = tables.keep(grams, "rarest")
         o, w = grams.filter("out").alias("o"), grams.alias("w")
-        shared_most = F.least(F.col("o.n") - F.col("o.n_beside"), F.col("w.n") - F.col("w.n_beside")) + F.least("o.n_beside", "w.n_beside")
-        beside_it = o.join(w, (F.col("o.centre") == F.col("w.centre")) & (F.col("o.g") == F.col("w.g")) & differ & (shared_most >= need)).select(*ends)
-        comps = linked(with_room.union(beside_it), comps)
+        beside_it = o.join(w, (F.col("o.centre") == F.col("w.centre")) & (F.col("o.g") == F.col("w.g")) & differ & (F.least("o.rest", "w.rest") >= must)).select(*ends)
+        comps = linked(tables.keep(with_room.union(beside_it).distinct(), "asked"), comps)
     tables.only(sketched, folded, comps)
     # A component is named by the smallest id of its rows.
     named = folded.join(comps, "id").groupBy("comp").agg(F.min("rep").alias("low"))
