@@ -168,3 +168,12 @@ def test_edits_of_one_text_bring_few_pairs(spark, monkeypatch, percent):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link_components(documents(spark, texts), percent=percent).collect()}
     assert got == brute_components(texts, percent)
     assert [name for name, _ in asked].count("asked") and sum(df.count() for name, df in asked if name == "asked") < len(texts) * (len(texts) - 1) // 8  # a quarter of all pairs
+
+
+def test_differing_shingles_are_counted_without_a_join(spark):
+    """Each text's rarest differences in one order for all, at 85 of 100; those of one text only have no row but keep their place."""
+    apart = {1: [100, 101, 102, 103, 7, 8], 2: [100, 101, 102, 103, 9], 3: [100, 101, 11], 4: [100, 12]}
+    rows = [(0, i, i, True, 20, 20, 3, x) for i, x in apart.items()]
+    found = near_dedup._rarest(spark.createDataFrame(rows, "centre long, id long, comp long, out boolean, n long, c int, a int, apart array<long>"), 0.85)
+    assert {(r["id"], r["g"], r["rest"]) for r in found.collect()} == {(1, 102, 4), (1, 101, 2), (2, 102, 4), (2, 101, 2), (3, 101, 2)}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()

@@ -203,6 +203,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _share(t: float) -> float:
+    """Two sets of the similarity have at least so much of the sum of their sizes in common."""
+    return (t - 1e-9) / (1 + t)
+
+
+def _rarest(left: DataFrame, t: float) -> DataFrame:
+    """centre, id, comp, out, n, c, a, rest, g: the shingles g in one of which a text must differ from its centre as any partner does.
+
+    left: centre, id, comp, out, n, c, a, apart. Partners differ alike in `least` shingles at least, whoever they are (the one asking least is of
+    a size near the centre's). So one of the rarest that leave out least - 1 of them is alike, in one order for all around a centre; and at the first
+    that is, as many as they must share still follow in both: rest. Every row is dealt once to those that differ alike, and rows of shingles that no
+    other text has or lacks go there: they come first in the order, so their number is enough.
+    """
+    near = F.least(F.greatest(F.col("c").cast("double"), F.col("n") * (t - 1e-9)), F.col("n") / (t - 1e-9))
+    least = (F.col("n") + near) * _share(t) - F.col("c") + F.col("a") + F.greatest(F.lit(0.0), F.col("c") - near)
+    least = F.greatest(F.lit(1), F.ceil(least - 1e-6)).cast("int")
+    grams = left.withColumn("n_apart", F.size("apart")).withColumn("rarest", F.col("n_apart") - least + 1).filter("rarest > 0")
+    grams = grams.select("centre", "id", "comp", "out", "n", "c", "a", "n_apart", "rarest", F.explode("apart").alias("g"))
+    alike, own = W.partitionBy("centre", "g"), W.partitionBy("centre", "id")
+    holders = {"m": F.count("*"), "h1": F.bit_xor(F.xxhash64("id")), "h2": F.bit_xor(F.xxhash64("id", F.lit(1)))}
+    grams = grams.withColumns({k: v.over(alike) for k, v in holders.items()}).filter("m > 1")
+    order = own.orderBy("m", "h1", "h2", "g")
+    grams = grams.withColumn("at", F.col("n_apart") - F.count("*").over(own) + F.row_number().over(order)).filter("at <= rarest")
+    # Shingles that the very same texts have or lack (those of one edit, say) bring the same pairs: the first of them does.
+    same = W.partitionBy("centre", "id", "m", "h1", "h2").orderBy("g")
+    grams = grams.withColumn("nth", F.row_number().over(same)).filter("nth = 1")
+    return grams.select("centre", "id", "comp", "out", "n", "c", "a", (F.col("n_apart") - F.col("at") + 1).alias("rest"), "g")
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; links at 100 * intersection >= percent * union."""
     spark, tables, t = docs.sparkSession, Tables(docs.sparkSession), percent / 100
@@ -281,25 +310,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = tables.keep(left.join(apart, ["centre", "id"]), "apart")
         o, w = left.filter("out").alias("o"), left.alias("w")
         differ = (F.col("o.comp") != F.col("w.comp")) & (~F.col("w.out") | (F.col("o.id") < F.col("w.id"))) & fits
-        share = (t - 1e-9) / (1 + t)
-        must = (F.col("o.n") + F.col("w.n")) * share - F.col("o.c") + F.col("o.a") + F.col("w.a")
+        must = (F.col("o.n") + F.col("w.n")) * _share(t) - F.col("o.c") + F.col("o.a") + F.col("w.a")
         ends = [F.col("o.id").alias("x"), F.col("w.id").alias("y")]
         with_room = o.join(w, (F.col("o.centre") == F.col("w.centre")) & differ & (must <= 0)).select(*ends)
-        # The rest differ alike somewhere: `least` shingles at least, whatever the partner (the one asking least is of a size near the
-        # centre's). So one of the rarest that leave out least - 1 of them is alike, in one order for all around a centre; and at the
-        # first that is, as many as they must share still follow in both.
-        near = F.least(F.greatest(F.col("c").cast("double"), F.col("n") * (t - 1e-9)), F.col("n") / (t - 1e-9))
-        least = (F.col("n") + near) * share - F.col("c") + F.col("a") + F.greatest(F.lit(0.0), F.col("c") - near)
-        least = F.greatest(F.lit(1), F.ceil(least - 1e-6)).cast("int")
-        grams = left.withColumn("n_apart", F.size("apart")).withColumn("rarest", F.col("n_apart") - least + 1).filter("rarest > 0")
-        grams = grams.select("centre", "id", "comp", "out", "n", "c", "a", "n_apart", "rarest", F.explode("apart").alias("g"))
-        held_by = grams.groupBy("centre", "g").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
-        order = W.partitionBy("centre", "id").orderBy("m", "h1", "h2", "g")
-        # Shingles that the very same texts have or lack (those of one edit, say) bring the same pairs: the first of them does.
-        same = W.partitionBy("centre", "id", "m", "h1", "h2").orderBy("g")
-        grams = grams.join(held_by, ["centre", "g"]).withColumn("at", F.row_number().over(order)).filter("at <= rarest AND m > 1")
-        grams = grams.withColumn("nth", F.row_number().over(same)).filter("nth = 1").select("centre", "id", "comp", "out", "n", "c", "a", (F.col("n_apart") - F.col("at") + 1).alias("rest"), "g")
-        grams = tables.keep(grams, "rarest")
+        # The rest differ alike somewhere.
+        grams = tables.keep(_rarest(left, t), "rarest")
         o, w = grams.filter("out").alias("o"), grams.alias("w")
         beside_it = o.join(w, (F.col("o.centre") == F.col("w.centre")) & (F.col("o.g") == F.col("w.g")) & differ & (F.least("o.rest", "w.rest") >= must)).select(*ends)
         comps = linked(tables.keep(with_room.union(beside_it).distinct(), "asked"), comps)
